@@ -7,10 +7,11 @@ similarity of 0.75 a pair shares no key with a probability of 5 in 10,000. Every
 Documents with equal shingle sets form one class, named by a hash of the set, and only classes meet in the tables. Pairs
 are never listed within a crowded key; what is wanted are components, so:
 
-1. each class is compared with the smallest class that shares a key with it, and components are formed;
-2. a key whose classes are all in one component has nothing more to say. In the others, classes of different components
-   are compared: all such pairs where a key has few classes; where it has more than FEW, each with one pivot, some rounds,
-   and what then is still mixed goes through an exact prefix-filter join on the rarest shingles.
+1. in each of PIVOT_TURNS turns each class is compared with one pivot of its keys, and components are formed; a key whose
+   classes are all in one component has nothing more to say;
+2. the classes of keys that still hold several components go through an exact join: prefixes of their rarest shingles,
+   pairs of different components only, and of these only such as their places in the order of rarity and a sketch of
+   2,048 bits allow: first the likeliest pairs, then all.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than WORDS has its whole
 sequence as one shingle; repeated rows are one class, each row is returned; rows with a null id take part, and get the
@@ -27,16 +28,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import Scratch, bounded, cut, small_batches
+from graywacke.llm.common import BROADCAST_ROWS, Scratch, bounded, cut, small_batches
 from graywacke.llm.textvec import M, Texts, U, chunks, grams, mix
 
 WORDS, SIMILAR = 5, 75
 #: Minhash groups on a side, and minhashes in a group.
 SIDE, ROWS = 10, 2
-#: Classes of a key of which all pairs of different components may be compared; rounds with a pivot where there are more.
-FEW, PIVOT_ROUNDS = 48, 2
+#: Turns in which each class is compared with one pivot before the exact join of what is left.
+PIVOT_TURNS = 2
 
-FACTORS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, 2 * SIDE * ROWS, dtype=np.uint64) * U(2) + U(1)
+#: Longs of bits in a sketch, and how many standard deviations beyond the mean the sketches of a pair may differ: at 4.2 one
+#: pair in 70,000 of just the similarity asked is passed over, of more similar ones fewer.
+LONGS, DEVIATIONS = 32, 4.2
+SKETCH = [f"sketch_{k}" for k in range(LONGS)]
+
+FACTORS, SKETCH_FACTORS = (np.random.Generator(np.random.PCG64(k)).integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1) for k, n in ((8, 2 * SIDE * ROWS), (88, 64 * LONGS)))
 
 
 def shingles(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -153,54 +159,78 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
 
 
 def mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (key, node, n_shingles) of keys that hold more than one component, with component and the number of rows of the key."""
-    named = crowd.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    """The rows of crowd (key, node, ...), with component, of keys that hold more than one component."""
+    named = crowd.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     key = Window.partitionBy("key")
-    return (
-        named.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key), "many": F.count(F.lit(1)).over(key)})
-        .filter("low <> high")
-        .select("key", "node", "n_shingles", "component", "many")
-    )
+    return named.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).filter("low <> high").drop("low", "high")
 
 
-def across(rows: DataFrame, similar: int, pivot: bool) -> DataFrame:
-    """Pairs of classes of one key, of different components and of sizes that allow the similarity; pivot: only with the
-    class of the key that comes first by hash."""
-    other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n_shingles", "component")))
-    if pivot:
-        first = other.groupBy("key").agg(F.min_by("node_2", F.xxhash64("node_2", "key")).alias("node_2"))
-        other = other.join(first, ["key", "node_2"], "left_semi")
-    fits = f"component <> component_2 and 100 * least(n_shingles, n_shingles_2) >= {similar} * greatest(n_shingles, n_shingles_2)"
-    met = rows.join(other, "key").filter(fits + ("" if pivot else " and node < node_2"))
-    return met.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
+def pivots(rows: DataFrame, turn: int, similar: int) -> DataFrame:
+    """A pair (a, b) for each class at most: with the pivot of one of its keys, of another component and a size that allows the
+    similarity. The pivot is the class that meets most others (where copies vary, that is what they were made from), in
+    later turns any."""
+    rank = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    first = F.max(F.struct(rank.alias("rank"), "node", "component", "n_shingles")).over(Window.partitionBy("key"))
+    fits = f"component <> first.component and 100 * least(n_shingles, first.n_shingles) >= {similar} * greatest(n_shingles, first.n_shingles)"
+    best = rows.withColumn("first", first).filter(fits).groupBy("node").agg(F.max(F.struct("first.rank", "first.node")).alias("best"))
+    return best.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
 
 
 def prefixes(nodes: DataFrame, docs: DataFrame, reps: DataFrame, words: int, similar: int) -> DataFrame:
-    """(key, node, n_shingles, component) for the rarest shingles of each class of nodes (node, component): two sets as similar
-    as asked share one of their n - ceil(n * similar) + 1 rarest. Exact for crowded keys."""
-    rows = reps.join(nodes, "node").select("node", "component", "doc", "rep_hash", "n_shingles")
-    texts = texts_of(rows, docs).select("node", "component", "n_shingles", "text")
+    """(key, place) and the columns of sketched(), for the rarest shingles of each class of nodes (node, component); place: of the
+    shingle among all of its class, by rarity. Two sets as similar as asked share one of their n - ceil(n * similar) + 1 rarest."""
+    rows = cut(reps.join(nodes, "node").select("node", "component", "doc", "rep_hash", "n_shingles"))
+    texts = texts_of(rows, docs).select("node", "text")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done = 0
             for run in chunks(batch.text, 1 << 18):
                 each = sets(run, words)
-                part = batch.iloc[done : done + len(run)][["node", "component", "n_shingles"]]
+                nodes = batch.node.iloc[done : done + len(run)].to_numpy()
                 done += len(run)
-                out = part.loc[part.index.repeat([len(s) for s in each])].copy()
-                out["key"] = np.concatenate(each).view(np.int64)
-                yield out
+                yield pd.DataFrame({"key": np.concatenate(each).view(np.int64), "node": nodes.repeat([len(s) for s in each])})
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bits = [b for run in chunks(batch.text) for b in map(sketch_of, sets(run, words))]
+            yield pd.DataFrame(np.array(bits).reshape(-1, LONGS), columns=SKETCH).assign(node=batch.node.to_numpy())
 
     small_batches(docs.sparkSession)
-    all_keys = texts.mapInPandas(spread, "node long, component long, n_shingles long, key long")
-    rare = all_keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("many", "key"))
-    ranked = all_keys.join(rare, "key").withColumn("place", place)
-    return ranked.filter(f"place <= n_shingles - ceil(n_shingles * {similar} / 100) + 1 and many > 1").select("key", "node", "n_shingles", "component")
+    # What only one class has is first in its order and meets nobody: it counts, and goes no further.
+    every = texts.mapInPandas(spread, "key long, node long")
+    shared = every.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
+    order = Window.partitionBy("node").orderBy("many", "key")
+    ranked = shared.withColumns({"turn": F.row_number().over(order), "n_shared": F.count(F.lit(1)).over(Window.partitionBy("node"))}).drop("many")
+    sketched = texts.mapInPandas(sketch, f"{', '.join(f'{c} long' for c in SKETCH)}, node long").join(rows.select("node", "component", "n_shingles"), "node")
+    placed = ranked.join(bounded(cut(sketched), BROADCAST_ROWS // 16), "node").withColumn("place", F.expr("n_shingles - n_shared + turn"))
+    return placed.filter(f"place <= n_shingles - ceil(n_shingles * {similar} / 100) + 1").select("key", "node", "n_shingles", "component", "place", *SKETCH)
+
+
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """The lowest bit of each of 64 * LONGS minhashes: of two sets a bit is equal with a probability of (1 + similarity) / 2."""
+    least = np.full(64 * LONGS, ~U(0))
+    for at in range(0, len(shingles), 1024):
+        least = np.minimum(least, (shingles[at : at + 1024, None] * SKETCH_FACTORS).min(0))
+    return np.packbits((mix(least) & U(1)).astype(np.uint8)).view(np.int64)
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, few: int = FEW, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def across(rows: DataFrame, similar: int, deviations: float) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a prefix key and may be as similar as asked.
+
+    Of similar sets the first common shingle leaves enough of both behind it for what they must have in common; and their
+    sketches differ in no more bits than that many standard deviations beyond the mean.
+    """
+    differ = (1 - similar / 100) / 2
+    most = int(np.ceil(64 * LONGS * (differ + deviations * np.sqrt(differ * (1 - differ) / (64 * LONGS)))))
+    other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n_shingles", "component", "place", *SKETCH)))
+    enough = f"1 + least(n_shingles - place, n_shingles_2 - place_2) >= ceil({similar} * (n_shingles + n_shingles_2) / {100 + similar})"
+    close = f"{' + '.join(f'bit_count({c} ^ {c}_2)' for c in SKETCH)} <= {most}"
+    met = rows.join(other, "key").filter(f"component <> component_2 and node < node_2 and {enough} and {close}")
+    return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, turns: int = PIVOT_TURNS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included) and kept (whether that is its own)
     for each row of docs (doc_id, text): links join documents of which 100 * common >= similar * all shingles."""
     scratch = Scratch(docs.sparkSession, "minhash")
@@ -209,36 +239,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR,
     rows = scratch.save("rows", base.join(classes, "node", "left"))
     scratch.drop("signed")
     first = rows.filter("node is not null and doc_id <=> doc and text_hash = rep_hash")
-    reps = first.select("node", "doc", "rep_hash", "n_shingles")
+    reps = first.select("node", "doc", "rep_hash", "n_shingles").dropDuplicates(["node"])
+
     key = Window.partitionBy("key")
-    crowded = keyed(first).withColumns({"least": F.min("node").over(key), "most": F.max("node").over(key)}).filter("least <> most")
-    crowd = scratch.save("crowd", crowded)
-
-    pairs = cut(crowd.filter("node <> least").groupBy("node").agg(F.min("least").alias("a")).select("a", F.col("node").alias("b")))
-    crowd = crowd.select("key", "node", "n_shingles")
-    links = cut(confirmed(pairs, docs, reps, words, similar))
-    found = components(links)
-
-    rest = scratch.save("mixed", mixed(crowd, found))
-    scratch.drop("crowd")
-    for turn in range(pivot_rounds):
-        many = rest.filter(f"many > {few}")
-        if many.isEmpty():
-            break
-        pairs = cut(across(many, similar, pivot=True))
+    crowded = keyed(first).withColumns({"least": F.min("node").over(key), "most": F.max("node").over(key), "many": F.count(F.lit(1)).over(key)})
+    crowd = scratch.save("keys", crowded.filter("least <> most").select("key", "node", "n_shingles", "many"))
+    rest = scratch.save("crowd", crowd.drop("many").join(crowd.groupBy("node").agg(F.sum("many").alias("degree")), "node").withColumn("component", F.col("node")))
+    scratch.drop("keys")
+    found = cut(rest.select("node", F.col("node").alias("component")).limit(0))
+    for turn in range(turns):
+        pairs = cut(pivots(rest, turn, similar))
         found = components(confirmed(pairs, docs, reps, words, similar), found)
-        again = scratch.save(f"mixed-{turn}", mixed(rest.select("key", "node", "n_shingles"), found))
-        scratch.drop(f"mixed-{turn - 1}" if turn else "mixed")
+        again = scratch.save(f"rest-{turn}", mixed(rest, found))
+        scratch.drop(f"rest-{turn - 1}" if turn else "crowd")
         rest = again
-    pairs = across(rest.filter(f"many <= {few}"), similar, pivot=False)
-    many = rest.filter(f"many > {few}")
-    if not many.isEmpty():
-        keys = cut(prefixes(many.select("node", "component").distinct(), docs, reps, words, similar))
-        pairs = pairs.union(across(keys, similar, pivot=False)).distinct()
-    pairs = cut(pairs)
-    if not pairs.isEmpty():
-        found = components(confirmed(pairs, docs, reps, words, similar), found)
-    smallest = found.join(reps.select("node", "doc").distinct(), "node").groupBy("component").agg(F.min("doc").alias("smallest"))
+    nodes = cut(rest.select("node", "component").distinct())
+    scratch.drop(f"rest-{turns - 1}")
+    if not nodes.isEmpty():
+        # The likely pairs first: the components that they join leave fewer pairs for the whole range.
+        rest = scratch.save("prefixes", prefixes(nodes, docs, reps, words, similar))
+        for deviations in (0, DEVIATIONS):
+            pairs = cut(across(mixed(rest, found), similar, deviations))
+            found = components(confirmed(pairs, docs, reps, words, similar), found)
+    smallest = found.join(reps.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("smallest"))
     named = cut(found.join(smallest, "component").select("node", "smallest"))
     result = rows.select("doc_id", "n_shingles", "node", "doc").join(bounded(named), "node", "left")
     component = F.coalesce("smallest", "doc", "doc_id")
