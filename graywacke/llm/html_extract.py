@@ -2,14 +2,15 @@
 
 The element trees of a host's pages are merged: a node is a path of tags with their classes. Over the pages that have it a
 node has a presentation importance, the entropy of how its children are laid out, and a content importance, one less the mean
-entropy with which its blocks of text recur from page to page (Yi, Liu and Li, 2003); a branch's importance joins both,
-GAMMA for the content, over all leaves of the branch. Branches below THRESHOLD are the site's furniture and leave each page.
+entropy with which its blocks of text recur from page to page (Yi, Liu and Li, 2003); a node's importance joins both,
+GAMMA for the content. Nodes with text below THRESHOLD are the site's furniture: that text leaves each page. They are judged
+by their own text; what stands deeper is judged at its own node, so that a branch goes exactly where all of it is furniture.
 What the markup itself names as furniture (nav, footer, form, a class such as "ad" or "comments") has no importance from
 the start, on any host and however its text varies; where a page has an article (or else a main element), text outside it
 has none either.
 
 Importance is summed by Spark over (host, path, block) and (host, path): no host's pages meet in one task, however many.
-Branches are judged on hosts with MIN_PAGES pages or more. A page that would lose all its text to the site's tree is cut
+Nodes are judged on hosts with MIN_PAGES pages or more. A page that would lose all its text to the site's tree is cut
 by its own markup alone.
 
 Cases: null or empty html has an empty text; markup that is cut short, unclosed or wrongly nested is read as far as it goes;
@@ -147,7 +148,7 @@ def fingerprint(text: str) -> int:
 
 
 def site_furniture(pages: DataFrame) -> DataFrame:
-    """(host, paths): for hosts that have any, the paths of branches with an importance below THRESHOLD.
+    """(host, paths): for hosts that have any, the paths of nodes with an importance below THRESHOLD.
 
     pages: host and html.
     """
@@ -158,16 +159,12 @@ def site_furniture(pages: DataFrame) -> DataFrame:
             for host, source in zip(batch.host, batch.html):
                 page = Page(source or "")
                 blocks = page.kept()
-                paths = {p for path, _ in blocks for p in prefixes(path)}
+                paths = {path for path, _ in blocks}
                 rows += {(host, path, "content", fingerprint(text)) for path, text in blocks}
                 rows += [(host, path, "layout", fingerprint(" ".join(s for s, before in zip(page.children.get(path, ()), [None, *page.children.get(path, ())]) if s != before))) for path in paths]
             counted = pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
             yield counted.groupby(["host", "path", "kind", "feature"], as_index=False).size().rename(columns={"size": "n"})
 
-    def prefixes(path: str) -> list[str]:
-        steps = path.split(">")
-        return [">".join(steps[:k]) for k in range(2, len(steps) + 1)]
-
     small_batches(pages.sparkSession)
     seen = pages.select("host", "html").mapInPandas(look, "host string, path string, kind string, feature long, n long")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
@@ -179,20 +176,16 @@ def site_furniture(pages: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(~layout, F.col("n"))), F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.when(~layout, F.col("n") * F.log("n"))), F.lit(0.0)).alias("block_log"),
     )
     nodes = cut(nodes.join(bounded(cut(sizes)), "host"))
-    leaves = nodes.filter("blocks > 0").select("host", "m", "blocks", "block_log", F.split("path", ">").alias("steps"))
-    above = leaves.select("host", "m", "blocks", "block_log", F.explode(F.sequence(F.lit(2), F.size("steps"))).alias("k"), "steps")
-    branch = above.groupBy("host", F.array_join(F.slice("steps", F.lit(1), F.col("k")), ">").alias("path")).agg(F.sum("blocks").alias("blocks"), F.sum("block_log").alias("block_log"))
-    judged = branch.join(nodes.select("host", "path", "m", "m_path", "layout_log"), ["host", "path"])
     content = 1 - F.col("block_log") / F.col("blocks") / F.log("m")
     presentation = F.when(F.col("m_path") > 1, (F.log("m_path") - F.col("layout_log") / F.col("m_path")) / F.log("m_path")).otherwise(1.0)
-    low = judged.filter(F.col("m_path") >= MIN_PAGES).filter((1 - GAMMA) * presentation + GAMMA * content < THRESHOLD)
+    low = nodes.filter((F.col("m_path") >= MIN_PAGES) & (F.col("blocks") > 0)).filter((1 - GAMMA) * presentation + GAMMA * content < THRESHOLD)
     return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 
 def main_text(source: str | None, drop: frozenset[str]) -> str:
-    """The text of a page without the branches in drop; blocks are parted by an empty line."""
+    """The text of a page without that of the nodes in drop; blocks are parted by an empty line."""
     blocks = Page(source or "").kept()
-    left = [text for path, text in blocks if not any(path == d or path.startswith(f"{d}>") for d in drop)]
+    left = [text for path, text in blocks if path not in drop]
     return "\n\n".join(left or [text for _, text in blocks])
 
 
