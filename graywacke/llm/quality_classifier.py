@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 #: Features besides the hashed ones: a run of three words that the document has had before.
 REPEATED = BUCKETS
 #: Labelled texts of either class to fit on, at most.
-PER_CLASS = 1000
+PER_CLASS = 500
 CHARACTERS = (3, 4, 5)
 
 
@@ -88,7 +88,7 @@ def train(sample: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: fl
         for text in texts:
             ids = np.concatenate([ids for ids, _ in features(Texts([text]))])
             at, n = np.unique(ids, return_counts=True)
-            bags.append((k, at, n / max(1, len(ids))))
+            bags.append((k, at.astype(np.int32), (n / max(1, len(ids))).astype(np.float32)))
     shares = np.array([1 / len(by_class[k]) for k, _, _ in bags])
     steps = epochs * len(bags)
     for step, i in enumerate(rng.choice(len(bags), steps, p=shares / shares.sum())):
