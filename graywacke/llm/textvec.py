@@ -94,7 +94,7 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+def chunks(texts: Iterable[str | None], most: int = 1 << 17) -> Iterator[list[str | None]]:
     """Runs of texts of about most characters; a longer text stands alone, whole."""
     run: list[str | None] = []
     size = 0
