@@ -33,7 +33,7 @@ END = 1
 #: Pieces packed together in a task, about.
 GROUP = 16_384
 #: Words of which a worker keeps the ids; then it starts afresh.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
