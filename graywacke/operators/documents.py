@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A number as written: sign, digits, point and exponent; 1.5e-05 is one number.
-NUMBER = r"(?<![\w.])[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w]|\.\d)"
+#: A number as written: sign, digits, point and exponent; 1.5e-05 is one number, and so is .07.
+NUMBER = r"(?<![\w.])[+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?(?![\w]|\.\d)"
 
 
 def lines(docs: DataFrame, doc: str, text: str) -> DataFrame:

@@ -66,9 +66,7 @@ def join06_missing_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tx01_numbers", r"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents),
     w as (select doc_id, line_no, unnest(regexp_extract_all(line, '(?:^|[ ])(\d+)(?:[ ]|$)', 1)) as raw from l) select doc_id, count(*) as n from w group by 1""")
 def tx01_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = rows.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"(?:^|[ ])(\d+)(?:[ ]|$)"), F.lit(1))).alias("raw"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return documents.numbers(documents.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", "line_no", "nth", "raw", "value")
 
 
 @register("tx04_grim", """with c as (select c_nationkey as k, count(*) as n, round(avg(c_custkey), 2) as mean from customer group by 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graywacke.functions import special
 from graywacke.operators import audits, compare, designs, documents, logs, measures
+from graywacke.plans import registry
 from graywacke.plans.result import Verdict
 
 
@@ -82,3 +83,11 @@ def test_sessions_of_empty_and_tied_rows(spark):
     rows = spark.sql("select 1L as user_id, timestamp_ntz '2024-01-01 10:00' as ts union all select 1L, timestamp_ntz '2024-01-01 10:00' union all select 1L, timestamp_ntz '2024-01-01 10:30' union all select 1L, timestamp_ntz '2024-01-01 11:01' union all select null, timestamp_ntz '2024-01-01 10:00'")
     assert sorted((r.session_no, r.n_events) for r in logs.sessions(rows).collect()) == [(1, 3), (2, 1)]
     assert logs.sessions(rows.limit(0)).count() == 0
+
+
+def test_the_numbers_query_gives_every_number_with_its_place(spark, tmp_path):
+    texts = {1: "10 20 30\nx = 3.14, -5 (45%) p=1.5e-05", 2: "12,\n\n2-5 and .07. v1.2.3 a7 34명", 3: "", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {1: [["10", "20", "30"], ["3.14", "-5", "45", "1.5e-05"]], 2: [["12"], [], ["2", "5", ".07", "34"]]}
+    found = registry.queries()["tx01_numbers"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == sorted((d, k, i, raw, float(raw)) for d, rows in expected.items() for k, row in enumerate(rows, 1) for i, raw in enumerate(row))
