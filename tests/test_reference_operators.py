@@ -91,3 +91,12 @@ def test_the_numbers_query_gives_every_number_with_its_place(spark, tmp_path):
     expected = {1: [["10", "20", "30"], ["3.14", "-5", "45", "1.5e-05"]], 2: [["12"], [], ["2", "5", ".07", "34"]]}
     found = registry.queries()["tx01_numbers"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in found) == sorted((d, k, i, raw, float(raw)) for d, rows in expected.items() for k, row in enumerate(rows, 1) for i, raw in enumerate(row))
+
+
+def test_the_join_queries_use_whole_tables(spark, tmp_path):
+    customers, orders = [(k, k / 2) for k in range(1, 8)], [1, 1, 2, 4, 9, 9, 9]
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k,) for k in orders], "o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = registry.queries()["join01_merged"](spark, str(tmp_path)).collect()
+    assert {(r.k, r.orders, r.c_acctbal) for r in found} == {(k, orders.count(k) or None, dict(customers).get(k)) for k in {*orders, *dict(customers)}}
+    assert tuple(registry.queries()["join03_overlap"](spark, str(tmp_path)).first()) == (3, 4, 1)
