@@ -64,12 +64,17 @@ def remainder(id_column: Column | str, by: int) -> Column:
     return F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column.cast("string")) % by
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): conflicting labels of one id count as the larger; null labels don't count."""
+    return labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, balanced: bool = False) -> list[tuple[str, int]]:
     """Texts and labels of at most `most` documents (of each class, if balanced), by the hash of their ids: a bounded set for fitting.
 
     Conflicting labels of one id count as the larger; null labels and null texts don't count.
     """
-    known = labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
+    known = known_labels(labels, label)
     first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = first(known.filter("label = 0")).union(first(known.filter("label = 1"))) if balanced else first(known)
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())

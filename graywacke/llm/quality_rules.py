@@ -3,8 +3,8 @@
 A tree splits a random statistic at a random place, again and again; a document that few splits set apart from the rest
 is an anomaly (Liu, Ting and Zhou, 2008). There is a forest for each statistic and one for all together, as an oddity in
 one statistic hardly shortens paths that split many. They are grown from a bounded sample of documents that pass the base
-rules; the score of each forest above which a document is rejected is calibrated on the labels of the same sample, and
-forests that catch nothing more are left out.
+rules; the score of each forest above which a document is rejected is calibrated on all labelled documents, from counts by
+rounded score, and forests that catch nothing more are left out.
 
 Cases: a null or empty text has no words and fails the base rules; texts of any length are measured whole; equal texts
 get equal verdicts; without labelled rows there is no forest and all that pass the base rules are kept; extra columns
@@ -21,11 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import labelled_sample, small_batches
+from graywacke.llm.common import bounded, cut, known_labels, labelled_sample, small_batches
 from graywacke.llm.textvec import SPACE, M, Texts, U, chunks, grams, mix, owners
 
-#: Labelled texts for the forests and their thresholds, at most.
+#: Labelled texts from which the trees are grown, at most; thresholds are set on all labelled texts.
 SAMPLE = 2000
+#: Places of scores: counts by score stay few, and thresholds between them mean the same for all rows.
+PLACES = 4
 TREES, GROW_ON = 40, 256
 #: A threshold loses at most this share of the good rows and catches at least that share of the others; what a good row counts.
 LOSS, LEAST, WEIGHT = 0.002, 0.01, 50
@@ -106,7 +108,7 @@ class Forest:
     threshold: float = np.inf
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Between 0 and 1; higher is more of an anomaly."""
+        """Between 0 and 1, rounded; higher is more of an anomaly."""
         rows, total = np.arange(len(x)), np.zeros(len(x))
         for feature, cut, path in zip(self.feature, self.cut, self.path):
             node = np.zeros(len(x), np.int64)
@@ -114,7 +116,7 @@ class Forest:
                 split = feature[node]
                 node = np.where(split < 0, node, 2 * node + 2 - (x[rows, np.maximum(split, 0)] < cut[node]))
             total += path[node]
-        return 2 ** (-total / len(self.feature) / average_path(self.sample))
+        return np.round(2 ** (-total / len(self.feature) / average_path(self.sample)), PLACES)
 
 
 def grow(x: np.ndarray, use: list[int], trees: int = TREES, sample: int = GROW_ON, seed: int = 6) -> Forest:
@@ -141,45 +143,80 @@ def grow(x: np.ndarray, use: list[int], trees: int = TREES, sample: int = GROW_O
     return Forest(feature, cut, path, sample)
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, of_good: int, of_bad: int) -> tuple[float, float]:
+def threshold(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, of_good: int, of_bad: int) -> tuple[float, float]:
     """The score above which rows are rejected that is worth most, and that worth: the share of bad rows caught less
-    WEIGHT times the share of good rows lost.
+    WEIGHT times the share of good rows lost. good and bad are the numbers of rows by score, levels those scores, ascending.
 
     It stands in the middle of the gap between two scores; infinity, where none keeps within LOSS and catches LEAST.
     """
-    levels = np.unique(scores)
-    lost = (good.sum() - np.searchsorted(np.sort(scores[good]), levels, "right")) / max(1, of_good)
-    caught = ((~good).sum() - np.searchsorted(np.sort(scores[~good]), levels, "right")) / max(1, of_bad)
+    lost = (good.sum() - np.cumsum(good)) / max(1, of_good)
+    caught = (bad.sum() - np.cumsum(bad)) / max(1, of_bad)
     worth = np.where((lost <= LOSS) & (caught >= LEAST), caught - WEIGHT * lost, 0)
     best = int(np.argmax(worth)) if len(levels) else 0
     return (float((levels[best] + levels[best + 1]) / 2), float(worth[best])) if len(worth) and worth[best] > 0 else (np.inf, 0.0)
 
 
-def calibrate(x: np.ndarray, good: np.ndarray) -> list[Forest]:
-    """Forests with thresholds: of one for each statistic and one for all, those worth having, the best first.
+def scored(docs: DataFrame, labels: DataFrame, label: str, grown: list[Forest]) -> DataFrame:
+    """(label, scores): the score of each forest for all labelled texts that pass the base rules.
 
-    Each threshold is set on the rows that the forests before it leave, so that none is kept for what others catch.
+    Only labelled texts are measured where their ids may be broadcast; else all are, so that no text is dealt.
     """
-    if len(x) < 2:
-        return []
-    every, rest, chosen = list(range(x.shape[1])), np.ones(len(x), bool), []
-    grown = [(f, f.scores(x)) for f in (grow(x, use) for use in [*([f] for f in every), every])]
+    shared = docs.sparkSession.sparkContext.broadcast(grown)
+
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            bad, x = [np.zeros(0, bool)], [np.zeros((0, len(shared.value) - 1))]
+            for run in chunks(batch):
+                m = measure(run)
+                bad.append(failed(m))
+                x.append(rates(m))
+            every = np.concatenate(x)
+            each = np.column_stack([f.scores(every) for f in shared.value]).tolist()
+            yield pd.Series([None if b else row for b, row in zip(np.concatenate(bad), each)], dtype="object")
+
+    small_batches(docs.sparkSession)
+    known, texts = cut(known_labels(labels, label)), docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    few = bounded(known)
+    if few is known:
+        rows = texts.select("doc_id", scores("text").alias("scores")).filter(F.col("scores").isNotNull()).join(known, "doc_id")
+    else:
+        rows = texts.join(few, "doc_id").select("label", scores("text").alias("scores")).filter(F.col("scores").isNotNull())
+    return cut(rows.select("label", "scores"))
+
+
+def calibrate(rows: DataFrame, grown: list[Forest]) -> list[Forest]:
+    """Forests with thresholds: of those grown the ones worth having, the best first. rows: as from scored().
+
+    Each threshold is set on the rows that the forests before it leave, so that none is kept for what others catch. The driver
+    gets counts by forest and rounded score.
+    """
+    rest, chosen, of = rows, [], None
     while True:
-        tried = [threshold(scores[rest], good[rest], good.sum(), (~good).sum()) for _, scores in grown]
+        each = rest.select("label", F.posexplode("scores").alias("forest", "score")).groupBy("forest", "score")
+        counts = each.agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad")).toPandas().sort_values("score")
+        by_forest = [counts[counts.forest == k] for k in range(len(grown))]
+        of = of or (int(by_forest[0].good.sum()), int(by_forest[0].bad.sum()))
+        tried = [threshold(c.score.to_numpy(), c.good.to_numpy(), c.bad.to_numpy(), *of) for c in by_forest]
         best = int(np.argmax([worth for _, worth in tried]))
         if not tried[best][1] > 0:
             return chosen
-        chosen.append(replace(grown[best][0], threshold=tried[best][0]))
-        rest &= grown[best][1] <= tried[best][0]
+        chosen.append(replace(grown[best], threshold=tried[best][0]))
+        rest = rest.filter(F.col("scores")[best] <= tried[best][0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> list[Forest]:
-    """Forests and thresholds from at most `most` labelled texts, good and bad as they come."""
+    """Forests, one for each statistic and one for all, grown from at most `most` labelled texts, good and bad as they come;
+    their thresholds from all labelled texts."""
     sample = labelled_sample(docs, labels, label, most)
     parts = [measure(run) for run in chunks(t for t, _ in sample)] or [{k: np.zeros(0, np.int64) for k in COUNTS + MORE}]
     m = {k: np.concatenate([part[k] for part in parts]) for k in parts[0]}
-    passed = ~failed(m)
-    return calibrate(rates(m)[passed], np.array([y for _, y in sample], int)[passed] == 1)
+    x = rates(m)[~failed(m)]
+    if len(x) < 2:
+        return []
+    every = list(range(x.shape[1]))
+    grown = [grow(x, use) for use in [*([f] for f in every), every]]
+    return calibrate(scored(docs, labels, label, grown), grown)
 
 
 def judge(docs: DataFrame, forests: list[Forest], text: str = "text") -> DataFrame:

@@ -152,6 +152,34 @@ def test_forest_rejects_odd_rates_and_keeps_clean_rows(spark):
     assert all(r.rules.base_failed for r in quality_rules.judge(odd(spark).filter("doc_id < 5"), []).collect())
 
 
+def test_forest_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    ids = [r.id for r in spark.range(600).orderBy(F.xxhash64("id"), "id").collect()]
+    late = ids[120:]
+    # In the sample: good rows, bad ones full of signs, three full of digits. Outside it: good rows full of signs, bad ones full of digits.
+    signs, digits = {*ids[:12], *late[:40]}, {*ids[12:15], *late[40:100]}
+    bad = {*ids[:12], *digits}
+    plain = ["\n".join([t, *texts(9, i + 50), f"no. {i} of 600"]) for i, t in enumerate(texts(600, 13))]
+    rows = [t if i not in signs | digits else " ".join(w + ("##" if i in signs else "77") for w in t.split()) for i, t in enumerate(plain)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in range(600)], "doc_id long, quality int")
+    found = []
+    for by_broadcast in (True, False):
+        if not by_broadcast:
+            monkeypatch.setattr(quality_rules, "bounded", lambda df: df)
+        forests = quality_rules.fit(docs, labels, most=120)
+        found.append([f.threshold for f in forests])
+        lost = {r.doc_id for r in quality_rules.judge(docs, forests).filter("not rules.kept and not rules.base_failed").select("doc_id").collect()}
+        measured = quality_rules.failed(quality_rules.measure(rows))
+        assert {i for i in digits if not measured[i]} <= lost and len(lost - bad) <= quality_rules.LOSS * 600 * len(forests)
+    assert found[0] == found[1]
+    # The same thresholds by brute force over all rows: none of those tried is worth more.
+    m = quality_rules.measure(rows)
+    x, good = quality_rules.rates(m)[~quality_rules.failed(m)], np.array([i not in bad for i in range(600)])[~quality_rules.failed(m)]
+    scores = forests[0].scores(x)
+    worth = lambda t: (scores[~good] > t).sum() / (~good).sum() - quality_rules.WEIGHT * (scores[good] > t).sum() / good.sum()
+    assert all(worth(t) <= worth(forests[0].threshold) + 1e-12 for t in np.unique(scores) if (scores[good] > t).sum() <= quality_rules.LOSS * good.sum())
+
+
 def test_classifier_learns_and_scores_alone_as_in_company(spark):
     good, bad = texts(120, 21), [t.upper() + "!!" for t in texts(120, 22)]
     model = quality_classifier.train([(t, 1) for t in good[:80]] + [(t, 0) for t in bad[:80]])
