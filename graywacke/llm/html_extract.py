@@ -5,9 +5,9 @@ node has a presentation importance, the entropy of how its children are laid out
 entropy with which its blocks of text recur from page to page (Yi, Liu and Li, 2003); a node's importance joins both,
 GAMMA for the content. Nodes with text below THRESHOLD are the site's furniture: that text leaves each page. They are judged
 by their own text; what stands deeper is judged at its own node, so that a branch goes exactly where all of it is furniture.
-What the markup itself names as furniture (nav, footer, form, a class such as "ad" or "comments") has no importance from
+What the markup itself names as furniture (nav, footer, form, a class or id that is "ad" or "comments") has no importance from
 the start, on any host and however its text varies; where a page has an article (or else a main element), text outside it
-has none either.
+has none either. Classes and ids don't count for articles, main elements and what holds the page's only ones.
 
 Importance is summed by Spark over (host, path, block) and (host, path): no host's pages meet in one task, however many.
 Nodes are judged on hosts with MIN_PAGES pages or more. A page that would lose all its text to the site's tree is cut
@@ -22,7 +22,8 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,15 +59,31 @@ FURNITURE_WORDS = frozenset(
 )
 
 
+@dataclass(slots=True)
+class Element:
+    name: str
+    path: str
+    up: Element | None = None
+    #: Furniture by its tag, role or attributes; a form, which may hold a whole page; furniture by a class or id.
+    named: bool = False
+    form: bool = False
+    marked: bool = False
+    #: Whether it is an article or inside one, a main element or inside one; whether it is around one.
+    article: bool = False
+    main: bool = False
+    holds: bool = False
+    #: Its place among the page's elements.
+    at: int = 0
+
+
 class Page:
-    """The blocks of a page in order, each with the path it stands in; and the children of each path."""
+    """The blocks of a page in order, each with the element it stands in; and the children of each path."""
 
     def __init__(self, source: str):
-        #: Path, text, whether it is furniture, inside an article, inside a main element.
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
+        self.blocks: list[tuple[Element, str]] = []
         self.children: dict[str, list[str]] = {}
-        # An open element: its tag, its path, whether it is furniture by its markup, whether it is inside an article, a main element.
-        self.open: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        self.elements: list[Element] = [Element("", "")]
+        self.open: list[Element] = self.elements[:]
         self.text: list[str] = []
         self.read(source)
 
@@ -94,15 +111,15 @@ class Page:
         text = " ".join(entities.unescape("".join(self.text)).split())
         self.text.clear()
         if text:
-            self.blocks.append((self.open[-1][1], text, *self.open[-1][2:]))
+            self.blocks.append((self.open[-1], text))
 
     def start(self, name: str, rest: str) -> None:
         if name in ENDS:
             ended, stop = ENDS[name]
             for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] in stop or self.open[i][0] in ("article", "div", "section", "main", "aside", "body") and name not in ("body",):
+                if self.open[i].name in stop or self.open[i].name in ("article", "div", "section", "main", "aside", "body") and name not in ("body",):
                     break
-                if self.open[i][0] in ended:
+                if self.open[i].name in ended:
                     self.flush()
                     del self.open[i:]
         if name in BLOCK:
@@ -111,36 +128,56 @@ class Page:
             self.text.append(" ")
         if name in VOID or rest.endswith("/") and name not in BLOCK:
             return
-        _, path, furniture, article, main = self.open[-1]
+        up = self.open[-1]
+        element = Element(name, up.path, up, article=up.article, main=up.main, at=len(self.elements))
         if name in BLOCK or name in FURNITURE_TAGS or name in RAW:
             attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
-            words = set(re.split(r"[^a-z0-9]+", f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())) - {""}
+            # Whole classes and ids: "no-sidebar" and "has-comments" say something else than "sidebar" and "comments".
+            words = {*attributes.get("class", "").lower().split(), *attributes.get("id", "").lower().split()}
             step = ".".join([name, *sorted(attributes.get("class", "").split())])[:80]
-            self.children.setdefault(path, []).append(step)
-            if path.count(">") < MOST_DEPTH:
-                path = f"{path}>{step}"
-            named = name in FURNITURE_TAGS or name in RAW or attributes.get("role", "").lower() in FURNITURE_ROLES or (name not in ("html", "body") and not words.isdisjoint(FURNITURE_WORDS)) or "hidden" in rest.lower().split() or attributes.get("aria-hidden") == "true"
+            self.children.setdefault(up.path, []).append(step)
+            if up.path.count(">") < MOST_DEPTH:
+                element.path = f"{up.path}>{step}"
+            role = attributes.get("role", "").lower()
+            body = name if name in ("article", "main") else role
+            element.article, element.main = up.article or body == "article", up.main or body == "main"
+            element.form = name == "form" or role == "form"
+            inside = up.article or up.main
             # The header of an article has its title; any other is the page's.
-            furniture = furniture or named or (name == "header" and not (article or main))
-            article, main = article or name == "article" and not furniture, main or (name == "main" or attributes.get("role") == "main") and not furniture
-        self.open.append((name, path, furniture, article, main))
+            element.named = not element.form and (name in FURNITURE_TAGS or name in RAW or role in FURNITURE_ROLES) or (name == "header" and not inside) or "hidden" in rest.lower().split() or attributes.get("aria-hidden") == "true"
+            element.marked = body not in ("article", "main") and name not in ("html", "body") and not (name == "header" and inside) and not words.isdisjoint(FURNITURE_WORDS)
+            around: Element | None = up if body in ("article", "main") else None
+            while around and not around.holds:
+                around.holds, around = True, around.up
+        self.elements.append(element)
+        self.open.append(element)
 
     def end(self, name: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == name:
-                if any(x[0] in BLOCK for x in self.open[i:]):
+            if self.open[i].name == name:
+                if any(x.name in BLOCK for x in self.open[i:]):
                     self.flush()
                 del self.open[i:]
                 return
 
-    def kept(self) -> list[tuple[str, str]]:
-        """(path, text) of the blocks that the page's own markup leaves."""
-        left = [b for b in self.blocks if not b[2]]
-        for inside in (3, 4):
-            if any(b[inside] for b in left):
-                left = [b for b in left if b[inside]]
-                break
-        return [(path, text) for path, text, *_ in left]
+    def left(self, furniture: Callable[[Element], bool]) -> list[tuple[Element, str]]:
+        """The blocks that stand in no furniture; those inside articles where there are any, or else inside main elements."""
+        out: list[bool] = []
+        for e in self.elements:
+            out.append(furniture(e) or (e.up is not None and out[e.up.at]))
+        left = [(e, text) for e, text in self.blocks if not out[e.at]]
+        return [b for b in left if b[0].article] or [b for b in left if b[0].main] or left
+
+    def kept(self) -> list[tuple[str, str, bool]]:
+        """(path, text, whether inside an article) of the blocks that the page's own markup leaves.
+
+        A class or id doesn't make furniture of what holds an article or main element, unless another such element stands
+        outside: comments and teasers are often articles of their own. Where classes, ids and forms leave no text they don't count.
+        """
+        left = self.left(lambda e: e.named or e.form or e.marked)
+        if not left or self.elements[0].holds and not any(e.article or e.main for e, _ in left):
+            left = self.left(lambda e: e.named or e.form or e.marked and not e.holds) or self.left(lambda e: e.named)
+        return [(e.path, text, e.article) for e, text in left]
 
 
 def fingerprint(text: str) -> int:
@@ -158,7 +195,7 @@ def site_furniture(pages: DataFrame) -> DataFrame:
             rows: list[tuple[str, str, str, int]] = []
             for host, source in zip(batch.host, batch.html):
                 page = Page(source or "")
-                blocks = page.kept()
+                blocks = [b[:2] for b in page.kept()]
                 paths = {path for path, _ in blocks}
                 rows += {(host, path, "content", fingerprint(text)) for path, text in blocks}
                 rows += [(host, path, "layout", fingerprint(" ".join(s for s, before in zip(page.children.get(path, ()), [None, *page.children.get(path, ())]) if s != before))) for path in paths]
@@ -184,7 +221,7 @@ def site_furniture(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str | None, drop: frozenset[str]) -> str:
     """The text of a page without that of the nodes in drop; blocks are parted by an empty line."""
-    blocks = Page(source or "").kept()
+    blocks = [b[:2] for b in Page(source or "").kept()]
     left = [text for path, text in blocks if path not in drop]
     return "\n\n".join(left or [text for _, text in blocks])
 

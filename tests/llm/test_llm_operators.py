@@ -225,6 +225,17 @@ def test_html_text_and_site_tree(spark):
     assert (found[90].text, found[91].text, found[92].text, found[92].n_chars) == ("", "cut short &am", "a", 1)
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<div id='page' class='has-sidebar'><p>a</p></div>", "a"), ("<main class='search-enabled'><p>a</p></main>", "a"),
+    ("<article class='post has-comments'><header class='entry-header'><h1>t</h1></header><p>a</p></article>", "t\n\na"), ("<article class='notice'><header class='header'><h1>t</h1></header>a</article>", "t\n\na"),
+    ("<div id='page' class='sidebar'><nav>n</nav><main><p>a</p></main></div>", "a"), ("<div class='widget'><p>a</p></div><nav>n</nav>", "a"), ("<form><p>a</p></form>", "a"),
+    ("<div class='post'><article>a</article></div><div id='comments'><article class='comment'>me too</article></div>", "a"), ("<p>a</p><div class='sidebar wide'>s</div>", "a"), ("<nav>n</nav>", ""),
+])
+def test_classes_that_name_furniture(source, text):
+    assert html_extract.main_text(source, frozenset()) == text
+    assert html_extract.main_text("<div>" * 5000 + source, frozenset()) == text
+
+
 def test_warc_round_trip_and_validation(spark, tmp_path):
     rows = [(1, "http://a/b c\r\nX: y", "<p>é"), (2, None, "<p>é"), (3, "http://c/", None), (4, "", ""), (None, "http://n/", "z"), (5, "http://big/", "x" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
