@@ -3,14 +3,14 @@
 The element trees of a host's pages are merged: a node is a path of tags with their classes. Over the pages that have it a
 node has a presentation importance, the entropy of how its children are laid out, and a content importance, one less the mean
 entropy with which its blocks of text recur from page to page (Yi, Liu and Li, 2003); a node's importance joins both,
-GAMMA for the content. Nodes with text below THRESHOLD are the site's furniture: that text leaves each page. They are judged
-by their own text; what stands deeper is judged at its own node, so that a branch goes exactly where all of it is furniture.
+GAMMA for the content. In nodes below THRESHOLD the blocks that are below it themselves, those that most pages repeat, are the
+site's furniture and leave each page. Nodes inside an article are left alone, and equal pages of a host count as one.
 What the markup itself names as furniture (nav, footer, form, a class or id that is "ad" or "comments") has no importance from
 the start, on any host and however its text varies; where a page has an article (or else a main element), text outside it
 has none either. Classes and ids don't count for articles, main elements and what holds the page's only ones.
 
 Importance is summed by Spark over (host, path, block) and (host, path): no host's pages meet in one task, however many.
-Nodes are judged on hosts with MIN_PAGES pages or more. A page that would lose all its text to the site's tree is cut
+Nodes are judged on hosts with MIN_PAGES different pages or more. A page that would lose all its text to the site's tree is cut
 by its own markup alone.
 
 Cases: null or empty html has an empty text; markup that is cut short, unclosed or wrongly nested is read as far as it goes;
@@ -185,45 +185,51 @@ def fingerprint(text: str) -> int:
 
 
 def site_furniture(pages: DataFrame) -> DataFrame:
-    """(host, paths): for hosts that have any, the paths of nodes with an importance below THRESHOLD.
+    """(host, blocks): for hosts that have any, the (path, feature) of the blocks that are furniture of the site: both their
+    node and they themselves have an importance below THRESHOLD. A page counts once for a host, however many copies it has.
 
     pages: host and html.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[str, str, str, int]] = []
-            for host, source in zip(batch.host, batch.html):
+            rows: list[tuple[str, int, str, str, int]] = []
+            fresh = batch.drop_duplicates(["host", "page"])
+            for host, number, source in zip(fresh.host, fresh.page, fresh.html):
                 page = Page(source or "")
-                blocks = [b[:2] for b in page.kept()]
+                blocks = [(path, text) for path, text, article in page.kept() if not article]
                 paths = {path for path, _ in blocks}
-                rows += {(host, path, "content", fingerprint(text)) for path, text in blocks}
-                rows += [(host, path, "layout", fingerprint(" ".join(s for s, before in zip(page.children.get(path, ()), [None, *page.children.get(path, ())]) if s != before))) for path in paths]
-            counted = pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
-            yield counted.groupby(["host", "path", "kind", "feature"], as_index=False).size().rename(columns={"size": "n"})
+                rows += {(host, number, path, "content", fingerprint(text)) for path, text in blocks}
+                rows += [(host, number, path, "layout", fingerprint(" ".join(s for s, before in zip(page.children.get(path, ()), [None, *page.children.get(path, ())]) if s != before))) for path in paths]
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "kind", "feature"])
 
     small_batches(pages.sparkSession)
-    seen = pages.select("host", "html").mapInPandas(look, "host string, path string, kind string, feature long, n long")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
-    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    pages = pages.select("host", "html", F.xxhash64("html").alias("page"))
+    seen = pages.mapInPandas(look, "host string, page long, path string, kind string, feature long").distinct()
+    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
+    counts = cut(seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n")))
     # Of each path: how many pages have it (by its layouts), the entropy of its layouts, and sums over its blocks of text.
     layout = F.col("kind") == "layout"
     nodes = counts.groupBy("host", "path").agg(
         F.sum(F.when(layout, F.col("n"))).alias("m_path"), F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("layout_log"),
         F.coalesce(F.sum(F.when(~layout, F.col("n"))), F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.when(~layout, F.col("n") * F.log("n"))), F.lit(0.0)).alias("block_log"),
     )
-    nodes = cut(nodes.join(bounded(cut(sizes)), "host"))
+    nodes = nodes.join(bounded(cut(sizes)), "host")
     content = 1 - F.col("block_log") / F.col("blocks") / F.log("m")
     presentation = F.when(F.col("m_path") > 1, (F.log("m_path") - F.col("layout_log") / F.col("m_path")) / F.log("m_path")).otherwise(1.0)
-    low = nodes.filter((F.col("m_path") >= MIN_PAGES) & (F.col("blocks") > 0)).filter((1 - GAMMA) * presentation + GAMMA * content < THRESHOLD)
-    return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    importance = lambda c: (1 - GAMMA) * F.col("presentation") + GAMMA * c
+    low = nodes.withColumn("presentation", presentation).filter((F.col("m_path") >= MIN_PAGES) & (F.col("blocks") > 0)).filter(importance(content) < THRESHOLD)
+    low = bounded(cut(low.select("host", "path", "presentation", "m")))
+    # More than m ** 0.7 pages share such a block, so that a path has few of them.
+    again = counts.filter(~layout).join(low, ["host", "path"]).filter(importance(1 - F.log("n") / F.log("m")) < THRESHOLD)
+    return again.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("path", "feature"))).alias("blocks"))
 
 
-def main_text(source: str | None, drop: frozenset[str]) -> str:
-    """The text of a page without that of the nodes in drop; blocks are parted by an empty line."""
-    blocks = [b[:2] for b in Page(source or "").kept()]
-    left = [text for path, text in blocks if path not in drop]
-    return "\n\n".join(left or [text for _, text in blocks])
+def main_text(source: str | None, drop: frozenset[tuple[str, int]]) -> str:
+    """The text of a page without the blocks in drop, by path and fingerprint, that stand outside articles; blocks are parted by an empty line."""
+    blocks = Page(source or "").kept()
+    left = [text for path, text, article in blocks if article or not drop or (path, fingerprint(text)) not in drop]
+    return "\n\n".join(left or [text for _, text, _ in blocks])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -231,12 +237,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
     rows = pages.withColumn("site_host", host)
     sites = cut(site_furniture(rows.select(F.col("site_host").alias("host"), F.col(html).alias("html"))))
-    rows = rows.join(bounded(sites.withColumnRenamed("host", "their_host")), F.col("site_host") == F.col("their_host"), "left")
+    rows = rows.join(bounded(sites.select(F.col("host").alias("their_host"), F.col("blocks").alias("site_blocks"))), F.col("site_host") == F.col("their_host"), "left")
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, paths in batches:
-            yield pd.Series([main_text(s, frozenset(p if p is not None else ())) for s, p in zip(sources, paths)], dtype="object")
+        for sources, sites in batches:
+            yield pd.Series([main_text(s, frozenset((b["path"], b["feature"]) for b in (site if site is not None else ()))) for s, site in zip(sources, sites)], dtype="object")
 
     small_batches(pages.sparkSession)
-    return rows.withColumn("text", text(F.col(html), F.col("paths"))).withColumn("n_chars", F.length("text").cast("long")).drop("site_host", "their_host", "paths")
+    return rows.withColumn("text", text(F.col(html), F.col("site_blocks"))).withColumn("n_chars", F.length("text").cast("long")).drop("site_host", "their_host", "site_blocks")

@@ -225,6 +225,22 @@ def test_html_text_and_site_tree(spark):
     assert (found[90].text, found[91].text, found[92].text, found[92].n_chars) == ("", "cut short &am", "a", 1)
 
 
+def html_texts(spark, sources):
+    rows = [(k, f"http://h.example/{k}", source) for k, source in enumerate(sources)]
+    return {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_the_site_tree_leaves_articles_and_counts_copies_once(spark):
+    page = "<body><article><h1>News</h1><p>%s</p><ul><li>%s</ul></article>"
+    found = html_texts(spark, [page % ("copied", "a list")] * 18 + [page % ("alone", "own list"), page % ("copied", "other")])
+    assert (found[18], found[19], found[0]) == ("News\n\nalone\n\nown list", "News\n\ncopied\n\nother", "News\n\ncopied\n\na list")
+    # Without articles: copies are no evidence, and of a path that most pages repeat only what they repeat goes.
+    plain = "<body><div class=x><p>%s</p></div><h2>%s</h2>"
+    assert html_texts(spark, [plain % ("copied", "one")] * 30 + [plain % ("alone", "two")])[30] == "alone\n\ntwo"
+    found = html_texts(spark, [plain % ("strip" if k else "own words", f"head {k}") for k in range(30)])
+    assert (found[0], found[1]) == ("own words\n\nhead 0", "head 1")
+
+
 @pytest.mark.parametrize(("source", "text"), [
     ("<div class='content no-sidebar'><p>a</p></div>", "a"), ("<div id='page' class='has-sidebar'><p>a</p></div>", "a"), ("<main class='search-enabled'><p>a</p></main>", "a"),
     ("<article class='post has-comments'><header class='entry-header'><h1>t</h1></header><p>a</p></article>", "t\n\na"), ("<article class='notice'><header class='header'><h1>t</h1></header>a</article>", "t\n\na"),
