@@ -32,9 +32,9 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: that with the smallest id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    dropped = bounded(cut(found.filter("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()))
-    return docs.join(dropped, F.expr("doc_id <=> dropped_id"), "left_anti")
+    found = minhash.near_duplicates(docs.select("doc_id", "text"), hashes=True)
+    dropped = bounded(cut(found.filter("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct()))
+    return docs.join(dropped, F.expr("doc_id <=> dropped_id and xxhash64(text) = dropped_hash"), "left_anti")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,8 +81,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     covered = places.withColumn("fresh", fresh).groupBy(*doc).agg(F.sum("fresh").alias("n_hit"))
     found = hits.select(*doc, "n", "h1", "h2").distinct().join(bounded(targets), ["n", "h1", "h2"]).select(*doc, F.col("item_id").cast("string").alias("item_id")).distinct()
     named = found.groupBy(*doc).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
-    result = covered.join(named, doc).select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"), "n_hit", "item_ids")
-    joined = seen.join(bounded(cut(result)), F.expr("doc_id <=> their_id and text_hash <=> their_hash"), "left")
+    named = named.select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"), "item_ids")
+    same = F.expr("doc_id <=> their_id and text_hash <=> their_hash")
+    result = covered.join(named, same).select("their_id", "their_hash", "n_hit", "item_ids")
+    joined = seen.join(bounded(cut(result)), same, "left")
     n_hit, item_ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("item_ids", F.array().cast("array<string>"))
     return joined.select(
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"),

@@ -230,9 +230,10 @@ def across(rows: DataFrame, similar: int, deviations: float) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, turns: int = PIVOT_TURNS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, turns: int = PIVOT_TURNS, hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included) and kept (whether that is its own)
-    for each row of docs (doc_id, text): links join documents of which 100 * common >= similar * all shingles."""
+    for each row of docs (doc_id, text): links join documents of which 100 * common >= similar * all shingles. With hashes a column
+    text_hash tells rows of one doc_id apart."""
     scratch = Scratch(docs.sparkSession, "minhash")
     base = scratch.save("signed", signed(docs, words))
     classes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_hash"))
@@ -263,8 +264,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR,
             found = components(confirmed(pairs, docs, reps, words, similar), found)
     smallest = found.join(reps.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("smallest"))
     named = cut(found.join(smallest, "component").select("node", "smallest"))
-    result = rows.select("doc_id", "n_shingles", "node", "doc").join(bounded(named), "node", "left")
+    more = ["text_hash"] if hashes else []
+    result = rows.select("doc_id", "n_shingles", "node", "doc", *more).join(bounded(named), "node", "left")
     component = F.coalesce("smallest", "doc", "doc_id")
-    result = cut(result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    result = cut(result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more))
     scratch.drop()
     return result

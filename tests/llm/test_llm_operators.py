@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -73,6 +74,14 @@ def test_near_duplicates_of_odd_and_no_rows(spark):
     assert minhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_the_pipeline_drops_near_copies_only(spark):
+    first, other, third = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, first), (None, first + " x"), (None, other), (2, first + " y"), (2, third)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.minhash_stage(spark, docs, "").collect()
+    assert {tuple(r) for r in kept} == {(1, first), (None, other), (2, third)}
+
+
 def test_contamination_against_brute_force(spark):
     rng = random.Random(3)
     items = [" ".join(rng.choices("ab cd ef gh ij".split(), k=n)) for n in (3, 9, 10, 14, 30)] + ["", None, "!!"]
@@ -96,6 +105,13 @@ def test_contamination_against_brute_force(spark):
     assert not any(r.contaminated for r in decontaminate.contamination(odd(spark), spark.createDataFrame([], "item_id long, text string")).collect())
 
 
+def test_contamination_of_rows_without_id(spark):
+    item = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(None, f"a {item} b"), (None, "clean text"), (1, f"c {item}")], "doc_id long, text string")
+    found = decontaminate.contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_hit, list(r.item_ids), r.contaminated) for r in found) == [(0, 0, [], False), (0, 12, ["7"], True), (1, 12, ["7"], True)]
+
+
 def test_packing_round_trip_and_bounds(spark):
     rows = packing.packed_documents(odd(spark), TOKENIZER, packing.Capacity(64)).collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
