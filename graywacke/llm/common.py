@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of a few numbers a row may be broadcast (16 bytes of keys a row: some 16 MB).
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table may be broadcast, and what a row and a value of fixed size count for.
+BROADCAST_BYTES, ROW_BYTES, VALUE_BYTES = 16 << 20, 16, 8
 
 #: Rows in an Arrow batch of whole texts: the default of 10,000 can hold gigabytes of long texts.
 BATCH_ROWS = 256
+#: Characters of all texts of a sample that the driver holds, at most.
+SAMPLE_CHARACTERS = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, a laptop), a temporary one of our own."""
+    """The folder of spark.checkpoint.dir; where that is unset and the master is local (tests, a laptop), a temporary one of our own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='graywacke-')}")
     return spark.sparkContext.getCheckpointDir()
 
@@ -40,9 +45,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Drops the named tables, or all."""
+        for name in names or ("",):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -51,17 +58,32 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has been counted to have few rows; else as it is, for a shuffled join.
+def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has been measured to be small; else as it is, for a shuffled join.
 
-    df should be a narrow table that has been cut or written: it is counted here.
+    df should be a narrow table that has been cut or written: its bytes are summed here, strings and arrays by their length.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    size = F.lit(ROW_BYTES + VALUE_BYTES * len(df.columns)).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary", "varchar", "char"):
+            size += F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            size += F.octet_length(F.to_json(F.struct(f.name)))
+    total = df.agg(F.sum(size)).first()[0]
+    return F.broadcast(df) if (total or 0) <= most else df
+
+
+def distinct_names(df: DataFrame, *added: str) -> None:
+    """ValueError if df has a column that an operator is about to add: none is overwritten. Names count without regard to case."""
+    if taken := sorted({c for c in df.columns if c.lower() in {a.lower() for a in added}}):
+        raise ValueError(f"columns of these names are already there: {', '.join(taken)}")
 
 
 def remainder(id_column: Column | str, by: int) -> Column:
-    """crc32 of the id's text, modulo by: the fold of a row."""
-    return F.crc32(F.col(id_column).cast("string") if isinstance(id_column, str) else id_column.cast("string")) % by
+    """crc32 of the id's text, modulo by: the fold of a row; a null id counts as an empty text."""
+    named = F.col(id_column) if isinstance(id_column, str) else id_column
+    return F.crc32(F.coalesce(named.cast("string"), F.lit("")).cast("binary")) % by
 
 
 def known_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -69,14 +91,28 @@ def known_labels(labels: DataFrame, label: str) -> DataFrame:
     return labels.filter(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, balanced: bool = False) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, balanced: bool = False, characters: int = SAMPLE_CHARACTERS) -> list[tuple[str, int]]:
     """Texts and labels of at most `most` documents (of each class, if balanced), by the hash of their ids: a bounded set for fitting.
 
-    Conflicting labels of one id count as the larger; null labels and null texts don't count.
+    Rows and characters are both bounded: equal rows count once, and texts that would take the sample beyond `characters` are
+    passed over, in the order of the hash. Conflicting labels of one id count as the larger; null labels and texts don't count.
     """
-    known = known_labels(labels, label)
-    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = first(known.filter("label = 0")).union(first(known.filter("label = 1"))) if balanced else first(known)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(picked), "doc_id").select("text", "label", "doc_id").collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    known = cut(known_labels(labels, label))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size")).filter(F.col("text").isNotNull())
+    # Only ids, hashes and sizes are dealt and ordered; the texts of the picked rows are read again.
+    light = texts.select("doc_id", "text_hash", "size").join(bounded(known), "doc_id").select("doc_id", "text_hash", "size", "label").distinct()
+    light = cut(light.filter(F.col("size") <= characters))
+    first = lambda rows: rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(most)
+    parts = [light.filter("label = 0"), light.filter("label = 1")] if balanced else [light]
+    picked, total = [], 0
+    for rows in zip_longest(*(first(p).collect() for p in parts)):
+        for r in filter(None, rows):
+            if total + r["size"] <= characters:
+                picked.append((r.doc_id, r.text_hash, r.label))
+                total += r["size"]
+    if not picked:
+        return []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked, f"doc_id {kind}, text_hash long, label int"))
+    rows = texts.join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"), F.first("label").alias("label")).collect()
+    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text_hash))]

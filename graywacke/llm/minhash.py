@@ -4,14 +4,15 @@ A table's key joins one element of each of two collections of SIDE minhash group
 groups of ROWS minhashes: the square root of what independent tables take (Dahlgaard, Knudsen and Thorup, 2017). At a
 similarity of 0.75 a pair shares no key with a probability of 5 in 10,000. Every link is confirmed on the full shingle sets.
 
-Documents with equal shingle sets form one class, named by a hash of the set, and only classes meet in the tables. Pairs
-are never listed within a crowded key; what is wanted are components, so:
+Documents with equal shingle sets form one class, found by a 128-bit digest of the set, and only classes meet in the tables.
+A group that no other class has cannot make a shared key: only groups that several classes have are combined into keys.
+Pairs are never listed within a key; what is wanted are components, so:
 
 1. in each of PIVOT_TURNS turns each class is compared with one pivot of its keys, and components are formed; a key whose
-   classes are all in one component has nothing more to say;
+   classes are all in one component has nothing more to say. Keys are summed up by aggregation, never gathered;
 2. the classes of keys that still hold several components go through an exact join: prefixes of their rarest shingles,
    pairs of different components only, and of these only such as their places in the order of rarity and a sketch of
-   2,048 bits allow: first the likeliest pairs, then all.
+   64 * LONGS bits allow: first the likeliest pairs, then all. With deviations=None sketches pass all pairs.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than WORDS has its whole
 sequence as one shingle; repeated rows are one class, each row is returned; rows with a null id take part, and get the
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import BROADCAST_ROWS, Scratch, bounded, cut, small_batches
+from graywacke.llm.common import Scratch, bounded, small_batches
 from graywacke.llm.textvec import M, Texts, U, chunks, grams, mix
 
 WORDS, SIMILAR = 5, 75
@@ -39,7 +40,7 @@ PIVOT_TURNS = 2
 
 #: Longs of bits in a sketch, and how many standard deviations beyond the mean the sketches of a pair may differ: at 4.2 one
 #: pair in 70,000 of just the similarity asked is passed over, of more similar ones fewer.
-LONGS, DEVIATIONS = 32, 4.2
+LONGS, DEVIATIONS = 8, 4.2
 SKETCH = [f"sketch_{k}" for k in range(LONGS)]
 
 FACTORS, SKETCH_FACTORS = (np.random.Generator(np.random.PCG64(k)).integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1) for k, n in ((8, 2 * SIDE * ROWS), (88, 64 * LONGS)))
@@ -70,12 +71,13 @@ def sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """A row for each row of docs: doc_id, the text's hash, the size of its set, its class and 2 * SIDE group signatures."""
+    """A row for each row of docs: doc_id, the text's hash, the size of its set, a digest of the set and 2 * SIDE group signatures."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, set_1 long, set_2 long, groups array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = 0
-            for run in chunks(batch.text):
+            done: list[pd.DataFrame] = []
+            for run in chunks(batch):
                 found, at = shingles(run, words)
                 each = [np.unique(found[a:b]) for a, b in zip(at[:-1], at[1:])]
                 full = np.flatnonzero(np.diff(at))
@@ -87,186 +89,200 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                         for k in range(ROWS):
                             total = mix(total * M + least[g * ROWS + k])
                         groups[full, g] = total
-                out = batch.iloc[done : done + len(run)][["doc_id", "text_hash"]].reset_index(drop=True)
-                done += len(run)
-                out["n_shingles"] = [len(s) for s in each]
-                out["node"] = pd.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in each], "Int64")
-                out["groups"] = list(groups.view(np.int64))
-                yield out
+                names = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in each])
+                done.append(pd.DataFrame({"n_shingles": [len(s) for s in each], "set_1": names[:, 0], "set_2": names[:, 1], "groups": list(groups.view(np.int64))}))
+            yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"n_shingles": [], "set_1": [], "set_2": [], "groups": []}).astype({"n_shingles": int, "set_1": int, "set_2": int, "groups": object})
 
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInPandas(sign, f"doc_id {kind}, text_hash long, n_shingles long, node long, groups array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), sign("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def classed(base: DataFrame) -> DataFrame:
+    """A row for each distinct set: a number for it, its smallest doc_id, the hash of a text, and its groups. To be saved: the numbers
+    are those of one run."""
+    rep = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    rows = base.filter("n_shingles > 0").groupBy("set_1", "set_2").agg(F.min("doc_id").alias("doc"), rep.alias("rep_hash"), F.first("n_shingles").alias("n_shingles"), F.first("groups").alias("groups"))
+    return rows.withColumn("node", F.monotonically_increasing_id())
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """The classes that have groups in common with others on both sides: those groups (side_a, side_b), and how many others have them (degree)."""
+    # The lowest bit of a group's name is its side.
+    group = F.xxhash64("at", "g").bitwiseAND(-2).bitwiseOR(F.expr(f"cast(at div {SIDE} as long)"))
+    groups = classes.select("node", F.posexplode("groups").alias("at", "g")).select("node", group.alias("group"))
+    shared = groups.groupBy("group").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    side = lambda bit: F.collect_list(F.when(F.col("group").bitwiseAND(1) == bit, F.col("group")))
+    mine = groups.join(shared, "group").groupBy("node").agg(side(0).alias("side_a"), side(1).alias("side_b"), F.sum("many").alias("degree"))
+    return mine.filter("size(side_a) > 0 and size(side_b) > 0").join(classes.select("node", "doc", "rep_hash", "n_shingles"), "node")
+
+
+def keyed(crowd: DataFrame) -> DataFrame:
     """A row for each class and table: the key joins a group of the first side with one of the second."""
-    tables = f"""flatten(transform(slice(groups, 1, {SIDE}), (a, i) ->
-                 transform(slice(groups, {SIDE + 1}, {SIDE}), (b, j) -> xxhash64(a, b, i * {SIDE} + j))))"""
-    return classes.select(F.explode(F.expr(tables)).alias("key"), "node", "n_shingles")
+    keys = F.expr("flatten(transform(side_a, a -> transform(side_b, b -> xxhash64(a, b))))")
+    return crowd.select(F.explode(keys).alias("key"), "node")
 
 
-def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """rows (node, doc, rep_hash, ...) of classes with a text of each."""
-    named = docs.select(F.col("doc_id").alias("their_id"), "text", F.xxhash64("text").alias("their_hash"))
-    return named.join(bounded(cut(rows)), F.expr("their_id <=> doc and their_hash = rep_hash")).dropDuplicates(["node"])
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, component) of the keys whose classes are of more than one component."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    return rows.join(keys, "key", "left_semi")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, similar: int) -> DataFrame:
-    """Of pairs (a, b) of classes those whose shingle sets are as similar as asked, compared whole.
+def pivots(met: DataFrame, crowd: DataFrame, turn: int, similar: int) -> DataFrame:
+    """A pair (a, b) for each class at most, from met (key, node, component): with the pivot of one of its keys, of another component and a
+    size that allows the similarity. A key's pivot is the class that has most groups in common with others (where copies vary, that is
+    what they were made from), in later turns any."""
+    rank = F.expr("degree * 1048576 + (xxhash64(node) & 1048575)") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    rows = met.join(crowd.select("node", "n_shingles", rank.alias("rank")), "node")
+    first = rows.groupBy("key").agg(*(F.max_by(c, "rank").alias(f"first_{c}") for c in ("node", "component", "n_shingles")), F.max("rank").alias("first_rank"))
+    fits = f"component <> first_component and 100 * least(n_shingles, first_n_shingles) >= {similar} * greatest(n_shingles, first_n_shingles)"
+    best = rows.join(first, "key").filter(fits).groupBy("node").agg(F.max_by("first_node", "first_rank").alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
-    One text of each class in question is read again from docs; a text moves to its pairs, the sets are made there.
-    """
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(reps.join(needed, "node", "left_semi").select("node", "doc", "rep_hash"), docs).select("node", "text")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def full_sets(crowd: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the classes of crowd, from one text of each, read again from docs."""
+
+    @F.pandas_udf("array<long>")
+    def shingled(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            known: dict[int, np.ndarray] = {}
-            for node, text in (("a", "text_a"), ("b", "text_b")):
-                fresh = batch[~batch[node].isin(list(known))].drop_duplicates(node)
-                texts = [s for run in chunks(fresh[text]) for s in sets(run, words)]
-                known |= dict(zip(fresh[node], texts))
-            common = np.array([len(np.intersect1d(known[a], known[b], assume_unique=True)) for a, b in zip(batch.a, batch.b)])
-            union = np.array([len(known[a]) + len(known[b]) for a, b in zip(batch.a, batch.b)]) - common
-            yield batch.loc[100 * common >= similar * union, ["a", "b"]]
+            yield pd.Series([s.view(np.int64) for run in chunks(batch) for s in sets(run, words)], dtype="object")
+
+    small_batches(docs.sparkSession)
+    named = docs.select(F.col("doc_id").alias("their_id"), "text", F.xxhash64("text").alias("their_hash"))
+    texts = named.join(bounded(crowd.select("node", "doc", "rep_hash")), F.expr("their_id <=> doc and their_hash = rep_hash"))
+    return texts.select("node", "text").dropDuplicates(["node"]).select("node", shingled("text").alias("shingles"))
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long")
 
+def confirmed(pairs: DataFrame, full: DataFrame, similar: int) -> DataFrame:
+    """Of pairs (a, b) of classes those whose shingle sets are as similar as asked, compared whole."""
+    both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    rows = both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b")).alias("total"))
+    return rows.filter(f"100L * common >= {similar}L * (total - common)").select("a", "b")
 
-def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(node, component) for all nodes of links (a, b), the smallest node naming a component; start: components so far.
+
+class Components:
+    """Which component each class of the links so far is in: (node, component), the smallest node naming a component.
 
     Each round takes the least label next door, then the label of the label, so that rounds grow with the logarithm of the
-    longest chain. Links stay distributed; a round's labels are cut in the shared folder.
+    longest chain. Links and labels stay distributed, in tables of the shared folder.
     """
-    if start is not None:
-        links = links.union(start.filter("node <> component").select("node", "component"))
-    both = cut(links.toDF("a", "b").union(links.select("b", "a")).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
-    labels = cut(labels)
-    while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", "near").alias("next"))
-        up = step.select(F.col("node").alias("up"), F.col("next").alias("above"))
-        moved = cut(step.join(up, step.next == up.up, "left").select("node", F.coalesce("above", "next").alias("component"), (F.coalesce("above", "next") != F.col("component")).alias("moved")))
-        labels = moved.select("node", "component")
-        if moved.filter("moved").isEmpty():
-            return labels
-
-
-def mixed(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of crowd (key, node, ...), with component, of keys that hold more than one component."""
-    named = crowd.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    key = Window.partitionBy("key")
-    return named.withColumns({"low": F.min("component").over(key), "high": F.max("component").over(key)}).filter("low <> high").drop("low", "high")
-
-
-def pivots(rows: DataFrame, turn: int, similar: int) -> DataFrame:
-    """A pair (a, b) for each class at most: with the pivot of one of its keys, of another component and a size that allows the
-    similarity. The pivot is the class that meets most others (where copies vary, that is what they were made from), in
-    later turns any."""
-    rank = F.col("degree") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    first = F.max(F.struct(rank.alias("rank"), "node", "component", "n_shingles")).over(Window.partitionBy("key"))
-    fits = f"component <> first.component and 100 * least(n_shingles, first.n_shingles) >= {similar} * greatest(n_shingles, first.n_shingles)"
-    best = rows.withColumn("first", first).filter(fits).groupBy("node").agg(F.max(F.struct("first.rank", "first.node")).alias("best"))
-    return best.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct()
-
-
-def prefixes(nodes: DataFrame, docs: DataFrame, reps: DataFrame, words: int, similar: int) -> DataFrame:
-    """(key, place) and the columns of sketched(), for the rarest shingles of each class of nodes (node, component); place: of the
-    shingle among all of its class, by rarity. Two sets as similar as asked share one of their n - ceil(n * similar) + 1 rarest."""
-    rows = cut(reps.join(nodes, "node").select("node", "component", "doc", "rep_hash", "n_shingles"))
-    texts = texts_of(rows, docs).select("node", "text")
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = 0
-            for run in chunks(batch.text, 1 << 18):
-                each = sets(run, words)
-                nodes = batch.node.iloc[done : done + len(run)].to_numpy()
-                done += len(run)
-                yield pd.DataFrame({"key": np.concatenate(each).view(np.int64), "node": nodes.repeat([len(s) for s in each])})
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bits = [b for run in chunks(batch.text) for b in map(sketch_of, sets(run, words))]
-            yield pd.DataFrame(np.array(bits).reshape(-1, LONGS), columns=SKETCH).assign(node=batch.node.to_numpy())
 
-    small_batches(docs.sparkSession)
+    def __init__(self, scratch: Scratch, none: DataFrame):
+        self.scratch, self.found, self.turn, self.named = scratch, none, 0, ""
+
+    def add(self, links: DataFrame) -> None:
+        """Joins what the links (a, b) join."""
+        self.turn += 1
+        name = f"links-{self.turn}"
+        links = links.union(self.found.filter("node <> component").select("node", "component"))
+        both = self.scratch.save(name, links.toDF("a", "b").union(links.toDF("a", "b").select("b", "a")).distinct())
+        labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+        k = 0
+        while True:
+            near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+            step = labels.join(near, labels.node == near.a, "left").select("node", "component", F.least("component", "near").alias("next"))
+            up = step.select(F.col("node").alias("up"), F.col("next").alias("above"))
+            above = F.coalesce("above", "next")
+            moved = step.join(up, step.next == up.up, "left").select("node", above.alias("component"), (above != F.col("component")).alias("moved"))
+            labels = self.scratch.save(f"{name}-{k}", moved)
+            if k:
+                self.scratch.drop(f"{name}-{k - 1}")
+            done, labels, k = labels.filter("moved").isEmpty(), labels.select("node", "component"), k + 1
+            if done:
+                self.scratch.drop(name, *self.tables())
+                self.found, self.named = labels, f"{name}-{k - 1}"
+                return
+
+    def tables(self) -> list[str]:
+        """The names of the tables that it keeps."""
+        return [self.named] if self.named else []
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows with their component: a class without links is one of its own."""
+        return rows.join(self.found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def prefixes(nodes: DataFrame, similar: int) -> DataFrame:
+    """(key, node, place) and the columns of nodes (node, n_shingles, shingles and sketch) but its sets, for the rarest shingles
+    of each class; place: of the shingle among all of its class, by rarity. Two sets as similar as asked share one of their
+    n - ceil(n * similar) + 1 rarest."""
     # What only one class has is first in its order and meets nobody: it counts, and goes no further.
-    every = texts.mapInPandas(spread, "key long, node long")
-    shared = every.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1")
-    order = Window.partitionBy("node").orderBy("many", "key")
-    ranked = shared.withColumns({"turn": F.row_number().over(order), "n_shared": F.count(F.lit(1)).over(Window.partitionBy("node"))}).drop("many")
-    sketched = texts.mapInPandas(sketch, f"{', '.join(f'{c} long' for c in SKETCH)}, node long").join(rows.select("node", "component", "n_shingles"), "node")
-    placed = ranked.join(bounded(cut(sketched), BROADCAST_ROWS // 16), "node").withColumn("place", F.expr("n_shingles - n_shared + turn"))
-    return placed.filter(f"place <= n_shingles - ceil(n_shingles * {similar} / 100) + 1").select("key", "node", "n_shingles", "component", "place", *SKETCH)
+    every = nodes.select("node", F.explode("shingles").alias("key"))
+    shared = every.join(every.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1"), "key")
+    mine = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("many", "key"))).alias("order"))
+    ranked = mine.join(nodes.drop("shingles"), "node").withColumn("alone", F.col("n_shingles") - F.size("order"))
+    wanted = ranked.withColumn("order", F.expr(f"slice(order, 1, greatest(0, cast(n_shingles - ceil(n_shingles * {similar} / 100) + 1 - alone as int)))"))
+    return wanted.select("node", "n_shingles", *SKETCH, "alone", F.posexplode("order").alias("place", "o")).select("node", "n_shingles", *SKETCH, "o.key", (F.col("alone") + F.col("place") + 1).alias("place"))
+
+
+def sketched(nodes: DataFrame) -> DataFrame:
+    """nodes (shingles, ...) with a sketch: of two sets a bit of it is equal with a probability of (1 + similarity) / 2."""
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in SKETCH))
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame(np.array([sketch_of(np.asarray(s, np.int64).view(U)) for s in batch], np.int64).reshape(-1, LONGS), columns=SKETCH)
+
+    return nodes.withColumn("s", sketch("shingles")).select(*nodes.columns, "s.*")
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
-    """The lowest bit of each of 64 * LONGS minhashes: of two sets a bit is equal with a probability of (1 + similarity) / 2."""
+    """The lowest bit of each of 64 * LONGS minhashes."""
     least = np.full(64 * LONGS, ~U(0))
-    for at in range(0, len(shingles), 1024):
-        least = np.minimum(least, (shingles[at : at + 1024, None] * SKETCH_FACTORS).min(0))
+    for at in range(0, len(shingles), 256):
+        least = np.minimum(least, (shingles[at : at + 256, None] * SKETCH_FACTORS).min(0))
     return np.packbits((mix(least) & U(1)).astype(np.uint8)).view(np.int64)
 
 
-def across(rows: DataFrame, similar: int, deviations: float) -> DataFrame:
+def across(rows: DataFrame, similar: int, deviations: float | None) -> DataFrame:
     """Pairs (a, b) of classes of different components that share a prefix key and may be as similar as asked.
 
     Of similar sets the first common shingle leaves enough of both behind it for what they must have in common; and their
-    sketches differ in no more bits than that many standard deviations beyond the mean.
+    sketches differ in no more bits than that many standard deviations beyond the mean. A key that many classes have is one
+    that Spark's skew join splits: the condition is part of the join.
     """
     differ = (1 - similar / 100) / 2
-    most = int(np.ceil(64 * LONGS * (differ + deviations * np.sqrt(differ * (1 - differ) / (64 * LONGS)))))
     other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n_shingles", "component", "place", *SKETCH)))
     enough = f"1 + least(n_shingles - place, n_shingles_2 - place_2) >= ceil({similar} * (n_shingles + n_shingles_2) / {100 + similar})"
-    close = f"{' + '.join(f'bit_count({c} ^ {c}_2)' for c in SKETCH)} <= {most}"
+    close = "true"
+    if deviations is not None:
+        most = int(np.ceil(64 * LONGS * (differ + deviations * np.sqrt(differ * (1 - differ) / (64 * LONGS)))))
+        close = f"{' + '.join(f'bit_count({c} ^ {c}_2)' for c in SKETCH)} <= {most}"
     met = rows.join(other, "key").filter(f"component <> component_2 and node < node_2 and {enough} and {close}")
     return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, turns: int = PIVOT_TURNS, hashes: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR, turns: int = PIVOT_TURNS, deviations: float | None = DEVIATIONS, hashes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included) and kept (whether that is its own)
     for each row of docs (doc_id, text): links join documents of which 100 * common >= similar * all shingles. With hashes a column
-    text_hash tells rows of one doc_id apart."""
+    text_hash tells rows of one doc_id apart. The result is a table in the shared folder, where it stays."""
     scratch = Scratch(docs.sparkSession, "minhash")
     base = scratch.save("signed", signed(docs, words))
-    classes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("rep_hash"))
-    rows = scratch.save("rows", base.join(classes, "node", "left"))
-    scratch.drop("signed")
-    first = rows.filter("node is not null and doc_id <=> doc and text_hash = rep_hash")
-    reps = first.select("node", "doc", "rep_hash", "n_shingles").dropDuplicates(["node"])
-
-    key = Window.partitionBy("key")
-    crowded = keyed(first).withColumns({"least": F.min("node").over(key), "most": F.max("node").over(key), "many": F.count(F.lit(1)).over(key)})
-    crowd = scratch.save("keys", crowded.filter("least <> most").select("key", "node", "n_shingles", "many"))
-    rest = scratch.save("crowd", crowd.drop("many").join(crowd.groupBy("node").agg(F.sum("many").alias("degree")), "node").withColumn("component", F.col("node")))
-    scratch.drop("keys")
-    found = cut(rest.select("node", F.col("node").alias("component")).limit(0))
+    classes = scratch.save("classes", classed(base))
+    crowd = scratch.save("crowd", crowded(classes))
+    full = scratch.save("sets", full_sets(crowd, docs, words))
+    linked = Components(scratch, classes.select("node", F.col("node").alias("component")).limit(0))
+    met = scratch.save("met-0", mixed(keyed(crowd).withColumn("component", F.col("node"))))
     for turn in range(turns):
-        pairs = cut(pivots(rest, turn, similar))
-        found = components(confirmed(pairs, docs, reps, words, similar), found)
-        again = scratch.save(f"rest-{turn}", mixed(rest, found))
-        scratch.drop(f"rest-{turn - 1}" if turn else "crowd")
-        rest = again
-    nodes = cut(rest.select("node", "component").distinct())
-    scratch.drop(f"rest-{turns - 1}")
-    if not nodes.isEmpty():
+        pairs = scratch.save(f"pairs-{turn}", pivots(met, crowd, turn, similar))
+        linked.add(confirmed(pairs, full, similar))
+        met = scratch.save(f"met-{turn + 1}", mixed(linked.of(met.drop("component"))))
+        scratch.drop(f"met-{turn}", f"pairs-{turn}")
+    nodes = met.select("node").distinct()
+    rest = scratch.save("rest", sketched(crowd.select("node", "n_shingles").join(nodes, "node").join(full, "node")))
+    if not rest.isEmpty():
         # The likely pairs first: the components that they join leave fewer pairs for the whole range.
-        rest = scratch.save("prefixes", prefixes(nodes, docs, reps, words, similar))
-        for deviations in (0, DEVIATIONS):
-            pairs = cut(across(mixed(rest, found), similar, deviations))
-            found = components(confirmed(pairs, docs, reps, words, similar), found)
-    smallest = found.join(reps.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("smallest"))
-    named = cut(found.join(smallest, "component").select("node", "smallest"))
-    more = ["text_hash"] if hashes else []
-    result = rows.select("doc_id", "n_shingles", "node", "doc", *more).join(bounded(named), "node", "left")
-    component = F.coalesce("smallest", "doc", "doc_id")
-    result = cut(result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more))
-    scratch.drop()
+        prefix = scratch.save("prefixes", prefixes(rest, similar))
+        for k, d in enumerate((0, deviations)):
+            pairs = scratch.save(f"across-{k}", across(linked.of(prefix), similar, d))
+            linked.add(confirmed(pairs, full, similar))
+    smallest = linked.of(classes.select("node", "doc", "set_1", "set_2"))
+    smallest = smallest.join(smallest.groupBy("component").agg(F.min("doc").alias("smallest")), "component").select("set_1", "set_2", "smallest")
+    result = base.select("doc_id", "n_shingles", "text_hash", "set_1", "set_2").join(smallest, ["set_1", "set_2"], "left")
+    component = F.coalesce("smallest", "doc_id")
+    result = result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash"] if hashes else []))
+    result = scratch.save("result", result)
+    scratch.drop("signed", "classes", "crowd", "sets", f"met-{turns}", "rest", "prefixes", "across-0", "across-1", *linked.tables())
     return result

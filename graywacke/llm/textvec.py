@@ -20,20 +20,25 @@ SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers = {"n": 0}
+#: Powers kept between calls, at most: a longer run of texts makes its own, which go with it.
+KEPT_POWERS = 1 << 19
+
+_powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """M**0..M**n and the inverses, kept between calls."""
-    if _powers["n"] < n:
-        size = max(1 << 16, 1 << n.bit_length())
-        with np.errstate(over="ignore"):
-            for key, base in (("up", M), ("down", M_INVERSE)):
-                factors = np.full(size + 1, base, U)
-                factors[0] = 1
-                _powers[key] = np.multiply.accumulate(factors)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+    """M**0..M**n and the inverses."""
+    if "up" in _powers and len(_powers["up"]) > n:
+        return _powers["up"], _powers["down"]
+    size, out = (1 << max(18, n.bit_length()) if n < KEPT_POWERS else n), []
+    with np.errstate(over="ignore"):
+        for base in (M, M_INVERSE):
+            factors = np.full(size + 1, base, U)
+            factors[0] = 1
+            out.append(np.multiply.accumulate(factors))
+    if n < KEPT_POWERS:
+        _powers["up"], _powers["down"] = out
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
