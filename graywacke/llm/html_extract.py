@@ -1,20 +1,28 @@
 """Main text of HTML pages by a style tree for each site.
 
-The element trees of a host's pages are merged: a node is a path of tags with their classes. Over the pages that have it a
-node has a presentation importance, the entropy of how its children are laid out, and a content importance, one less the mean
-entropy with which its blocks of text recur from page to page (Yi, Liu and Li, 2003); a node's importance joins both,
-GAMMA for the content. In nodes below THRESHOLD the blocks that are below it themselves, those that most pages repeat, are the
-site's furniture and leave each page. Nodes inside an article are left alone, and equal pages of a host count as one.
-What the markup itself names as furniture (nav, footer, form, a class or id that is "ad" or "comments") has no importance from
-the start, on any host and however its text varies; where a page has an article (or else a main element), text outside it
-has none either. Classes and ids don't count for articles, main elements and what holds the page's only ones.
-
-Importance is summed by Spark over (host, path, block) and (host, path): no host's pages meet in one task, however many.
-Nodes are judged on hosts with MIN_PAGES different pages or more. A page that would lose all its text to the site's tree is cut
-by its own markup alone.
+The element trees of a host's pages are merged: a node is a path of tags with their classes (Yi, Liu and Li, 2003). Over the
+pages that have it, a node has two importances:
+
+- presentation: the greatest entropy, over its kinds of children, of how many of them a page has. What a template writes once
+  or six times on every page has none; where an author writes as many paragraphs as it takes, it is above VARIED, which is
+  more than a child that is there or not can have;
+- content: 1 - log(n) / log(m + SMOOTH) for a block of text that n of the host's m pages have there; for the node the mean of that
+  over its blocks on all pages.
+
+Each page is then cut from the root down. A branch with an important node is entered, its sister branches without one go where
+they hold less text than it; the first important node that isn't itself mostly one important branch stays whole. Blocks of text
+of little content importance outside articles, in nodes of little, go too. Equal pages of a host count as one.
+
+Markup comes second, as a prior for what entropies can't tell: article and main elements are important from the start, what is
+named as furniture (nav, footer, form, a class or id that is "ad" or "comments") never is, and leaves what the tree has kept:
+comments vary from page to page like articles. Where an article (or else a main element) is left, it is all that is.
+
+Entropies are summed by Spark over (host, path, count) and (host, path, block): no host's pages meet in one task, however many.
+On hosts with few pages entropies are small of themselves: log(m) at most.
 
 Cases: null or empty html has an empty text; markup that is cut short, unclosed or wrongly nested is read as far as it goes;
-pages are read whole; equal pages get equal texts; a null url is a host of its own, ""; extra columns pass through.
+pages are read whole; equal pages of a host get equal texts; a null url is a host of its own, ""; extra columns pass through,
+a column named text or n_chars raises ValueError.
 """
 
 from __future__ import annotations
@@ -22,18 +30,19 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import bounded, cut, small_batches
+from graywacke.llm.common import Scratch, bounded, distinct_names, small_batches
 
-GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.25, 8
-#: Depth to which paths are told apart; deeper elements belong to the path at this depth.
-MOST_DEPTH = 40
+#: Entropy of counts from which on a node is important; content importance below which a block is the site's; pages for smoothing.
+VARIED, THRESHOLD, SMOOTH = 1.0, 0.3, 7
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
@@ -62,7 +71,7 @@ FURNITURE_WORDS = frozenset(
 @dataclass(slots=True)
 class Element:
     name: str
-    path: str
+    path: int
     up: Element | None = None
     #: Furniture by its tag, role or attributes; a form, which may hold a whole page; furniture by a class or id.
     named: bool = False
@@ -72,17 +81,24 @@ class Element:
     article: bool = False
     main: bool = False
     holds: bool = False
+    #: Whether it is such an element itself.
+    body: bool = False
     #: Its place among the page's elements.
     at: int = 0
 
 
+@lru_cache(1 << 16)
+def path_of(parent: int, step: str) -> int:
+    """The number of a path: that of the parent's path, and the tag with its classes."""
+    return fingerprint(f"{parent}>{step}")
+
+
 class Page:
-    """The blocks of a page in order, each with the element it stands in; and the children of each path."""
+    """The elements of a page in order, and its blocks of text, each with the element it stands in."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[Element, str]] = []
-        self.children: dict[str, list[str]] = {}
-        self.elements: list[Element] = [Element("", "")]
+        self.elements: list[Element] = [Element("", 0)]
         self.open: list[Element] = self.elements[:]
         self.text: list[str] = []
         self.read(source)
@@ -134,13 +150,11 @@ class Page:
             attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)} if "=" in rest else {}
             # Whole classes and ids: "no-sidebar" and "has-comments" say something else than "sidebar" and "comments".
             words = {*attributes.get("class", "").lower().split(), *attributes.get("id", "").lower().split()}
-            step = ".".join([name, *sorted(attributes.get("class", "").split())])[:80]
-            self.children.setdefault(up.path, []).append(step)
-            if up.path.count(">") < MOST_DEPTH:
-                element.path = f"{up.path}>{step}"
+            element.path = path_of(up.path, ".".join([name, *sorted(attributes.get("class", "").split())]))
             role = attributes.get("role", "").lower()
             body = name if name in ("article", "main") else role
             element.article, element.main = up.article or body == "article", up.main or body == "main"
+            element.body = body in ("article", "main")
             element.form = name == "form" or role == "form"
             inside = up.article or up.main
             # The header of an article has its title; any other is the page's.
@@ -160,23 +174,55 @@ class Page:
                 del self.open[i:]
                 return
 
-    def left(self, furniture: Callable[[Element], bool]) -> list[tuple[Element, str]]:
-        """The blocks that stand in no furniture; those inside articles where there are any, or else inside main elements."""
+    def cut(self, varied: frozenset[int], markup: bool = True) -> list[bool]:
+        """Which elements the site's tree drops, text and all; varied: the paths of important nodes."""
+        n = len(self.elements)
+        named, own, within, size = [False] * n, [False] * n, [False] * n, [0] * n
+        for e, text in self.blocks:
+            size[e.at] += len(text)
+        alone = size[:]
+        for k, e in enumerate(self.elements):
+            named[k] = markup and (e.named or e.form or e.marked and not e.holds or e.up is not None and named[e.up.at])
+            within[k] = own[k] = (markup and e.body or e.path in varied and (e.up is None or e.path != e.up.path)) and not named[k]
+        best, vital = [0] * n, [0] * n
+        for k in range(n - 1, 0, -1):
+            up = self.elements[k].up.at
+            size[up] += size[k]
+            if within[k]:
+                within[up], vital[up], best[up] = True, vital[up] + size[k], max(best[up], size[k])
+        gone, whole = [False] * n, [False] * n
+        for k, e in enumerate(self.elements):
+            up = e.up.at if e.up else k
+            if k and (gone[up] or whole[up]):
+                gone[k], whole[k] = gone[up], whole[up]
+            elif not within[k]:
+                # Of an open parent only branches with as much text as its important ones stay; text of its own below.
+                gone[k], whole[k] = k > 0 and size[k] < vital[up], True
+            else:
+                whole[k] = own[k] and 2 * best[k] < size[k] or not vital[k]
+        return [g or not w and alone[k] < vital[k] for k, (g, w) in enumerate(zip(gone, whole))]
+
+    def left(self, furniture: Callable[[Element], bool], gone: list[bool]) -> list[tuple[Element, str]]:
+        """The blocks that neither the tree nor the markup drops; those inside articles where there are any, or else inside main elements."""
         out: list[bool] = []
         for e in self.elements:
             out.append(furniture(e) or (e.up is not None and out[e.up.at]))
-        left = [(e, text) for e, text in self.blocks if not out[e.at]]
+        left = [(e, text) for e, text in self.blocks if not out[e.at] and not gone[e.at]]
         return [b for b in left if b[0].article] or [b for b in left if b[0].main] or left
 
-    def kept(self) -> list[tuple[str, str, bool]]:
-        """(path, text, whether inside an article) of the blocks that the page's own markup leaves.
+    def kept(self, varied: frozenset[int] = frozenset(), markup: bool = True) -> list[tuple[int, str, bool]]:
+        """(path, text, whether inside an article) of the blocks that the site's tree leaves, and then the page's own markup.
 
         A class or id doesn't make furniture of what holds an article or main element, unless another such element stands
         outside: comments and teasers are often articles of their own. Where classes, ids and forms leave no text they don't count.
         """
-        left = self.left(lambda e: e.named or e.form or e.marked)
+        gone = self.cut(varied, markup)
+        if not markup:
+            left = [(e, text) for e, text in self.blocks if not gone[e.at] and e.name not in RAW and not (e.up and e.up.name == "head")]
+            return [(e.path, text, e.article) for e, text in left]
+        left = self.left(lambda e: e.named or e.form or e.marked, gone)
         if not left or self.elements[0].holds and not any(e.article or e.main for e, _ in left):
-            left = self.left(lambda e: e.named or e.form or e.marked and not e.holds) or self.left(lambda e: e.named)
+            left = self.left(lambda e: e.named or e.form or e.marked and not e.holds, gone) or self.left(lambda e: e.named, gone)
         return [(e.path, text, e.article) for e, text in left]
 
 
@@ -184,65 +230,91 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def site_furniture(pages: DataFrame) -> DataFrame:
-    """(host, blocks): for hosts that have any, the (path, feature) of the blocks that are furniture of the site: both their
-    node and they themselves have an importance below THRESHOLD. A page counts once for a host, however many copies it has.
+def merged(pages: DataFrame) -> DataFrame:
+    """The merged trees: (host, path, parent, kind, feature) and the number n of different pages that have it. kind layout: feature
+    is how many elements of the path a page has; kind content: feature is the fingerprint of a block outside articles.
 
     pages: host and html.
     """
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[str, int, str, str, int]] = []
+            rows: list[tuple[str, int, int, int, str, int]] = []
             fresh = batch.drop_duplicates(["host", "page"])
             for host, number, source in zip(fresh.host, fresh.page, fresh.html):
                 page = Page(source or "")
-                blocks = [(path, text) for path, text, article in page.kept() if not article]
-                paths = {path for path, _ in blocks}
-                rows += {(host, number, path, "content", fingerprint(text)) for path, text in blocks}
-                rows += [(host, number, path, "layout", fingerprint(" ".join(s for s, before in zip(page.children.get(path, ()), [None, *page.children.get(path, ())]) if s != before))) for path in paths]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "kind", "feature"])
+                # Inline elements have their parent's path and are no nodes.
+                nodes = [e for e in page.elements if e.up is None or e.path != e.up.path]
+                many = Counter((e.path, e.up.path if e.up else -1) for e in nodes)
+                rows += [(host, number, path, up, "layout", n) for (path, up), n in many.items()]
+                rows += {(host, number, e.path, 0, "content", fingerprint(text)) for e, text in page.blocks if not e.article}
+            yield pd.DataFrame(rows, columns=["host", "page", "path", "parent", "kind", "feature"])
 
     small_batches(pages.sparkSession)
-    pages = pages.select("host", "html", F.xxhash64("html").alias("page"))
-    seen = pages.mapInPandas(look, "host string, page long, path string, kind string, feature long").distinct()
-    sizes = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
-    counts = cut(seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n")))
-    # Of each path: how many pages have it (by its layouts), the entropy of its layouts, and sums over its blocks of text.
-    layout = F.col("kind") == "layout"
-    nodes = counts.groupBy("host", "path").agg(
-        F.sum(F.when(layout, F.col("n"))).alias("m_path"), F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("layout_log"),
-        F.coalesce(F.sum(F.when(~layout, F.col("n"))), F.lit(0)).alias("blocks"), F.coalesce(F.sum(F.when(~layout, F.col("n") * F.log("n"))), F.lit(0.0)).alias("block_log"),
-    )
-    nodes = nodes.join(bounded(cut(sizes)), "host")
-    content = 1 - F.col("block_log") / F.col("blocks") / F.log("m")
-    presentation = F.when(F.col("m_path") > 1, (F.log("m_path") - F.col("layout_log") / F.col("m_path")) / F.log("m_path")).otherwise(1.0)
-    importance = lambda c: (1 - GAMMA) * F.col("presentation") + GAMMA * c
-    low = nodes.withColumn("presentation", presentation).filter((F.col("m_path") >= MIN_PAGES) & (F.col("blocks") > 0)).filter(importance(content) < THRESHOLD)
-    low = bounded(cut(low.select("host", "path", "presentation", "m")))
-    # More than m ** 0.7 pages share such a block, so that a path has few of them.
-    again = counts.filter(~layout).join(low, ["host", "path"]).filter(importance(1 - F.log("n") / F.log("m")) < THRESHOLD)
-    return again.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("path", "feature"))).alias("blocks"))
-
-
-def main_text(source: str | None, drop: frozenset[tuple[str, int]]) -> str:
-    """The text of a page without the blocks in drop, by path and fingerprint, that stand outside articles; blocks are parted by an empty line."""
-    blocks = Page(source or "").kept()
-    left = [text for path, text, article in blocks if article or not drop or (path, fingerprint(text)) not in drop]
-    return "\n\n".join(left or [text for _, text, _ in blocks])
-
-
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with text (the main text) and n_chars, its code points."""
+    seen = pages.select("host", "html", F.xxhash64("html").alias("page")).mapInPandas(look, "host string, page long, path long, parent long, kind string, feature long")
+    # One page may be on many rows: it counts once.
+    return seen.distinct().groupBy("host", "path", "parent", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
+
+
+def important(counts: DataFrame) -> DataFrame:
+    """(host, path) of the nodes of presentation importance VARIED or more. counts: as from merged()."""
+    layout = counts.filter("kind = 'layout'").groupBy("host", "path", "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
+    above = layout.select("host", F.col("path").alias("parent"), F.col("m").alias("m_parent"))
+    without = F.col("m_parent") - F.col("m")
+    entropy = F.log("m_parent") - (F.col("n_log_n") + F.when(without > 0, without * F.log(without)).otherwise(0)) / F.col("m_parent")
+    return layout.join(above, ["host", "parent"]).filter(entropy >= VARIED).select("host", F.col("parent").alias("path")).distinct()
+
+
+def recurring(counts: DataFrame) -> DataFrame:
+    """(host, path, feature) of the blocks whose content importance is below THRESHOLD, as is their node's. counts: as from merged()."""
+    sizes = counts.filter("kind = 'layout' and parent = -1").groupBy("host").agg(F.sum("n").alias("m"))
+    content = counts.filter("kind = 'content'")
+    importance = lambda log_n: 1 - log_n / F.log(F.col("m") + SMOOTH)
+    nodes = content.groupBy("host", "path").agg((F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("log_n")).join(sizes, "host").filter(importance(F.col("log_n")) < THRESHOLD)
+    return content.join(nodes.select("host", "path", "m"), ["host", "path"]).filter(importance(F.log("n")) < THRESHOLD).select("host", "path", "feature")
+
+
+def site_trees(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(host, varied, blocks): of each host that has any, the important paths and the (path, feature) of recurring blocks.
+
+    Few pages can have different ones of them, so that both lists stay short: a path needs several pages, a block many.
+    """
+    counts = scratch.save("counts", merged(pages))
+    nodes = important(counts).select("host", "path", F.lit(None).cast("long").alias("feature"))
+    both = nodes.union(recurring(counts)).groupBy("host")
+    block = F.when(F.col("feature").isNotNull(), F.struct("path", "feature"))
+    trees = scratch.save("trees", both.agg(F.collect_set(F.when(F.col("feature").isNull(), F.col("path"))).alias("varied"), F.collect_set(block).alias("blocks")))
+    scratch.drop("counts")
+    return trees
+
+
+def main_text(source: str | None, varied: frozenset[int] = frozenset(), drop: frozenset[tuple[int, int]] = frozenset(), markup: bool = True) -> str:
+    """The text of a page by a site's tree (important paths, and blocks to drop by path and fingerprint), blocks parted by an empty line.
+
+    Without markup only the tree counts, and that scripts, styles and the head hold no text to read.
+    """
+    blocks = Page(source or "").kept(varied, markup)
+    return "\n\n".join(text for path, text, article in blocks if article or not drop or (path, fingerprint(text)) not in drop)
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", tree: bool = True, markup: bool = True) -> DataFrame:
+    """pages with text (the main text) and n_chars, its code points. Without tree or markup, to measure what each does."""
+    distinct_names(pages, "text", "n_chars")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
-    rows = pages.withColumn("site_host", host)
-    sites = cut(site_furniture(rows.select(F.col("site_host").alias("host"), F.col(html).alias("html"))))
-    rows = rows.join(bounded(sites.select(F.col("host").alias("their_host"), F.col("blocks").alias("site_blocks"))), F.col("site_host") == F.col("their_host"), "left")
+    rows = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), host.alias("host"), F.col(html).alias("html"))
+    if tree:
+        trees = bounded(site_trees(rows.select("host", "html"), Scratch(pages.sparkSession, "pages")))
+        rows = rows.join(trees, "host", "left")
+    else:
+        rows = rows.withColumns({"varied": F.lit(None).cast("array<long>"), "blocks": F.lit(None).cast("array<struct<path:long,feature:long>>")})
 
     @F.pandas_udf("string")
-    def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, sites in batches:
-            yield pd.Series([main_text(s, frozenset((b["path"], b["feature"]) for b in (site if site is not None else ()))) for s, site in zip(sources, sites)], dtype="object")
+    def text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        none = ()
+        for sources, paths, blocks in batches:
+            yield pd.Series([
+                main_text(s, frozenset(none if v is None else v), frozenset((b["path"], b["feature"]) for b in (none if d is None else d)), markup) for s, v, d in zip(sources, paths, blocks)
+            ], dtype="object")
 
     small_batches(pages.sparkSession)
-    return rows.withColumn("text", text(F.col(html), F.col("site_blocks"))).withColumn("n_chars", F.length("text").cast("long")).drop("site_host", "their_host", "site_blocks")
+    return rows.select("row", text("html", "varied", "blocks").alias("text")).select("row.*", "text", F.length("text").cast("long").alias("n_chars"))
