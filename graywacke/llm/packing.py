@@ -14,6 +14,8 @@ are packed each; ties go to the sequence opened first, equal lengths by key; an
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -22,12 +24,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graywacke.llm.common import cut, small_batches
+from graywacke.llm.common import Scratch, small_batches
 
 END = 1
 #: Pieces packed together in a task, about.
@@ -51,20 +54,40 @@ class Capacity:
         return np.array([self.tokens, self.documents or self.tokens, self.attention or self.tokens**2], float)
 
 
+@cache
+def unsettled() -> np.ndarray:
+    """For each code point whether Unicode may have changed what it is: those that Python's tables don't assign."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
 class WordIds(dict):
     """Token ids of texts, word by word: tokens never cross white space, so the ids of a text are those of its words in turn.
 
     Maps each lower-case word met so far to its number; new ones go to the tokenizer's model by the pieces of its own
-    split. Texts that the tokenizer may normalise otherwise than Python does, and those with its special tokens, go to it whole.
+    split. Texts that the tokenizer may normalise otherwise than Python does, and those with its special tokens, go to it whole;
+    so do all texts where the tokenizer's file has another normaliser, splitter or model than WORDWISE says.
     """
 
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: The parts of a tokenizer's file for which words may be taken one by one (fixed values).
+    WORDWISE = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+        "truncation": None, "padding": None, "post_processor": None,
+    }
     #: Capital sigma has two small forms; the separators are white space to Python alone.
-    ODD = ("<|", "Σ", "\x1c", "\x1d", "\x1e", "\x1f")
+    ODD = ("Σ", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.wordwise = all(said.get(k) == v for k, v in self.WORDWISE.items()) and said["model"]["type"] == "BPE"
+        # An added token begins with a character of these.
+        self.odd = {*self.ODD, *(t["content"][:2] for t in said["added_tokens"])}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
         self.ids, self.at = array("I"), array("q", [0])
@@ -81,6 +104,12 @@ class WordIds(dict):
         self[word] = n = len(self.at) - 2
         return n
 
+    def plain(self, text: str) -> bool:
+        """Whether the words of the text may be taken one by one."""
+        if not self.wordwise or any(x in text for x in self.odd):
+            return False
+        return text.isascii() or unicodedata.is_normalized("NFC", text) and not unsettled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self) > KEPT_WORDS:
             self.clear()
@@ -88,7 +117,7 @@ class WordIds(dict):
         each = []
         for text in texts:
             text = text or ""
-            if any(x in text for x in self.ODD) or not unicodedata.is_normalized("NFC", text):
+            if not self.plain(text):
                 each.append(None)
             else:
                 words = text.lower().split()
@@ -97,7 +126,7 @@ class WordIds(dict):
         out = []
         for words, text in zip(each, texts):
             if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32))
                 continue
             start, n = at[words], at[words + 1] - at[words]
             ends = np.cumsum(n)
@@ -114,17 +143,17 @@ def word_ids(path: str) -> WordIds:
 def tokenized(docs: DataFrame, tokenizer: str, most: int) -> DataFrame:
     """A row for each piece of each row of docs (doc_id, text): doc_id, piece, start, length, ids (unsigned 32-bit, little-endian)."""
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            out = []
-            for doc, ids in zip(batch.doc_id, word_ids(tokenizer).encode(batch.text)):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
-                out += [(doc, k, at, min(most, len(ids) - at), ids[at : at + most].tobytes()) for k, at in enumerate(range(0, len(ids), most))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": batch.doc_id.dtype})
+            yield pd.Series([np.append(ids, np.uint32(END)).astype("<u4").tobytes() for ids in word_ids(tokenizer).encode(batch)], dtype="object")
 
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(pieces, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    n = F.expr("octet_length(every) div 4")
+    rows = docs.select("doc_id", encoded("text").alias("every")).withColumn("n", n).select("doc_id", "every", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {most} as int)"))).alias("piece"))
+    start = F.col("piece").cast("long") * most
+    ids = F.substring("every", (4 * start + 1).cast("int"), F.lit(4 * most))
+    return rows.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n") - start).alias("length"), ids.alias("ids"))
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.ndarray]:
@@ -160,22 +189,22 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP) -> DataFrame:
-    """pieces (any columns, with length) with sequence_id and offset. pieces should be narrow and cut: it is counted, then packed."""
+    """pieces (any columns, with length) with sequence_id and offset. pieces should be narrow and saved: it is counted, then packed."""
     groups = max(1, round(pieces.count() / group))
     columns = pieces.columns
 
-    def packed(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["length", *[c for c in columns if c != "length"]], ascending=False, kind="stable", ignore_index=True)
-        sequence, batch["offset"] = best_fit(batch.length.to_numpy(), capacity)
-        batch["sequence_id"] = sequence * groups + batch.pop("pack_group").iloc[0]
-        return batch[[*columns, "sequence_id", "offset"]]
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("length", "descending"), *((c, "ascending") for c in columns if c != "length")])
+        number = rows.column("pack_group")[0].as_py()
+        sequence, offset = best_fit(rows.column("length").to_numpy(), capacity)
+        return rows.select(columns).append_column("sequence_id", pa.array(sequence * groups + number)).append_column("offset", pa.array(offset))
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64(*columns), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(packed, kind)
+    return dealt.groupBy("pack_group").applyInArrow(packed, kind)
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: Capacity = Capacity(), group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset for the pieces of docs (doc_id, text)."""
-    pieces = tokenized(docs, tokenizer, capacity.tokens)
-    return pack(cut(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), capacity, group)
+    pieces = tokenized(docs, tokenizer, capacity.tokens).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(Scratch(docs.sparkSession, "packing").save("pieces", pieces), capacity, group)

@@ -142,7 +142,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     several = sums.groupBy("sum").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).filter("low < refers_to").drop("low")
     again = cut(sums.join(several, "sum").filter("page_id < refers_to").select(F.col("page_id").alias("again_id"), F.col("sum").alias("again_sum"), "refers_to").distinct())
     rows = pages.select("page_id", "url", payload.alias("payload"))
-    rows = rows.join(bounded(again), (rows.page_id == again.again_id) & (F.unhex(F.sha1("payload")) == again.again_sum), "left").select("page_id", "url", "payload", "refers_to")
+    rows = rows.join(bounded(again), (rows.page_id == again.again_id) & (F.unhex(F.sha1("payload")) == again.again_sum), "left")
+    # Ids go to Python as text: a column of numbers and nulls would be one of doubles there.
+    rows = rows.select(F.col("page_id").cast("string"), "url", "payload", F.col("refers_to").cast("string"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -200,7 +202,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     yield frame(rows)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+        return pd.DataFrame({k: pd.array([r[k] for r in rows], "Int64") if k in ("page_id", "refers_to") else [r[k] for r in rows] for k in rows[0]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("path", "content").mapInPandas(read, kind)
