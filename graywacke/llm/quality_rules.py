@@ -1,14 +1,15 @@
 """Quality rules: statistics of each text, base rules on them, and an isolation forest for what the rules don't name.
 
 A tree splits a random statistic at a random place, again and again; a document that few splits set apart from the rest
-is an anomaly (Liu, Ting and Zhou, 2008). There is a forest for each statistic and one for all together, as an oddity in
-one statistic hardly shortens paths that split many. They are grown from a bounded sample of documents that pass the base
-rules; the score of each forest above which a document is rejected is calibrated on all labelled documents, from counts by
-rounded score, and forests that catch nothing more are left out.
+is an anomaly (Liu, Ting and Zhou, 2008). Every forest splits several statistics together. Which ones is learned from a bounded
+sample of labelled documents that pass the base rules: from all statistics the one is dropped whose loss costs least or helps
+most, until two are left, as statistics in which good documents vary widely hide what is odd in others. The forests of all
+those steps are candidates; the score of each above which a document is rejected is calibrated on all labelled documents, from
+counts by rounded score, and forests that catch nothing more are left out.
 
 Cases: a null or empty text has no words and fails the base rules; texts of any length are measured whole; equal texts
-get equal verdicts; without labelled rows there is no forest and all that pass the base rules are kept; extra columns
-pass through.
+get equal verdicts; without labelled rows of both kinds there is no forest and all that pass the base rules are kept; extra
+columns pass through, a column named rules raises ValueError.
 """
 
 from __future__ import annotations
@@ -21,18 +22,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import bounded, cut, known_labels, labelled_sample, small_batches
+from graywacke.llm.common import bounded, cut, distinct_names, known_labels, labelled_sample, small_batches
 from graywacke.llm.textvec import SPACE, M, Texts, U, chunks, grams, mix, owners
 
 #: Labelled texts from which the trees are grown, at most; thresholds are set on all labelled texts.
 SAMPLE = 2000
 #: Places of scores: counts by score stay few, and thresholds between them mean the same for all rows.
 PLACES = 4
-TREES, GROW_ON = 40, 256
+#: Trees of a forest, and the rows each is grown on: with few of them oddities don't hide each other.
+TREES, GROW_ON = 100, 32
 #: A threshold loses at most this share of the good rows and catches at least that share of the others; what a good row counts.
 LOSS, LEAST, WEIGHT = 0.002, 0.01, 50
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 
+#: How many rates() gives.
+STATISTICS = 7
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_upper", "n_digits", "n_marks", "n_lines")
 
@@ -109,13 +113,15 @@ class Forest:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1, rounded; higher is more of an anomaly."""
-        rows, total = np.arange(len(x)), np.zeros(len(x))
-        for feature, cut, path in zip(self.feature, self.cut, self.path):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(int(np.log2(len(feature) + 1)) - 1):
-                split = feature[node]
-                node = np.where(split < 0, node, 2 * node + 2 - (x[rows, np.maximum(split, 0)] < cut[node]))
-            total += path[node]
+        total = np.zeros(len(x))
+        trees = np.arange(len(self.feature))[:, None]
+        for at in range(0, len(x), 1024):
+            part = x[at : at + 1024]
+            rows, node = np.arange(len(part)), np.zeros((len(self.feature), len(part)), np.int64)
+            for _ in range(int(np.log2(self.feature.shape[1] + 1)) - 1):
+                split = self.feature[trees, node]
+                node = np.where(split < 0, node, 2 * node + 2 - (part[rows, np.maximum(split, 0)] < self.cut[trees, node]))
+            total[at : at + 1024] = self.path[trees, node].sum(0)
         return np.round(2 ** (-total / len(self.feature) / average_path(self.sample)), PLACES)
 
 
@@ -143,6 +149,25 @@ def grow(x: np.ndarray, use: list[int], trees: int = TREES, sample: int = GROW_O
     return Forest(feature, cut, path, sample)
 
 
+def worth_on(scores: np.ndarray, good: np.ndarray) -> float:
+    """The mean share of bad rows above the score that so many good rows are lost at, for several losses."""
+    ordered = np.sort(scores[good])
+    cuts = [ordered[max(0, int(np.ceil(len(ordered) * (1 - loss))) - 1)] for loss in (LOSS, 0.01, 0.05, 0.2)]
+    return float(np.mean([(scores[~good] > c).mean() for c in cuts]))
+
+
+def candidates(x: np.ndarray, good: np.ndarray) -> list[Forest]:
+    """Forests on ever fewer statistics, two at least: at each step the statistic goes without which the rest does best."""
+    use = list(range(x.shape[1]))
+    grown = [grow(x, use)]
+    while len(use) > 2:
+        tried = [grow(x, [f for f in use if f != k]) for k in use]
+        best = int(np.argmax([worth_on(f.scores(x), good) for f in tried]))
+        del use[best]
+        grown.append(tried[best])
+    return grown
+
+
 def threshold(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, of_good: int, of_bad: int) -> tuple[float, float]:
     """The score above which rows are rejected that is worth most, and that worth: the share of bad rows caught less
     WEIGHT times the share of good rows lost. good and bad are the numbers of rows by score, levels those scores, ascending.
@@ -166,7 +191,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, grown: list[Forest])
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            bad, x = [np.zeros(0, bool)], [np.zeros((0, len(shared.value) - 1))]
+            bad, x = [np.zeros(0, bool)], [np.zeros((0, STATISTICS))]
             for run in chunks(batch):
                 m = measure(run)
                 bad.append(failed(m))
@@ -206,27 +231,28 @@ def calibrate(rows: DataFrame, grown: list[Forest]) -> list[Forest]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> list[Forest]:
-    """Forests, one for each statistic and one for all, grown from at most `most` labelled texts, good and bad as they come;
-    their thresholds from all labelled texts."""
+    """Forests grown from at most `most` labelled texts, good and bad as they come; their thresholds from all labelled texts."""
     sample = labelled_sample(docs, labels, label, most)
     parts = [measure(run) for run in chunks(t for t, _ in sample)] or [{k: np.zeros(0, np.int64) for k in COUNTS + MORE}]
     m = {k: np.concatenate([part[k] for part in parts]) for k in parts[0]}
-    x = rates(m)[~failed(m)]
-    if len(x) < 2:
+    fine = ~failed(m)
+    x, good = rates(m)[fine], np.array([y for _, y in sample], int)[fine] == 1
+    if good.all() or not good.any():
         return []
-    every = list(range(x.shape[1]))
-    grown = [grow(x, use) for use in [*([f] for f in every), every]]
+    grown = candidates(x, good)
     return calibrate(scored(docs, labels, label, grown), grown)
 
 
 def judge(docs: DataFrame, forests: list[Forest], text: str = "text") -> DataFrame:
     """docs with a column rules: COUNTS and MORE, base_failed, anomaly (the largest score less its threshold) and kept."""
+    distinct_names(docs, "rules")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(forests)
     kind = ", ".join(f"{k} long" for k in COUNTS + MORE) + ", base_failed boolean, anomaly double, kept boolean"
 
-    def judged(texts: list[str | None]) -> pd.DataFrame:
-        m = measure(texts)
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        parts = [measure(run) for run in chunks(texts)] or [measure([])]
+        m = {k: np.concatenate([part[k] for part in parts]) for k in parts[0]}
         bad, x = failed(m), rates(m)
         over = np.max([np.full(len(x), -1.0), *(f.scores(x) - f.threshold for f in shared.value)], axis=0)
         return pd.DataFrame({k: m[k] for k in COUNTS + MORE} | {"base_failed": bad, "anomaly": over, "kept": ~bad & (over <= 0)})
@@ -234,6 +260,6 @@ def judge(docs: DataFrame, forests: list[Forest], text: str = "text") -> DataFra
     @F.pandas_udf(kind)
     def rules(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.concat([judged(run) for run in chunks(batch)] or [judged([])], ignore_index=True)
+            yield judged(batch)
 
     return docs.withColumn("rules", rules(F.col(text)))
