@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywacke.llm import chat, decontaminate, html_extract, language_id, minhash, packing, quality_classifier, quality_rules, url_filter, warc
+from graywacke.llm import chat, decontaminate, html_extract, language_id, minhash, packing, quality_classifier, quality_rules, url_filter, url_table, warc
 from graywacke.llm.common import Scratch, remainder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = url_filter.fit(url_filter.labelled_urls())
+    model = url_filter.fit(url_table.labelled_urls())
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages, URL_RULES, model).select("page_id", "host", "path", "rule", "verdict", "unwanted")
 
@@ -66,9 +66,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = Scratch(spark, "warc").root
-    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    scratch = Scratch(spark, "warc")
+    archives = f"{scratch.root}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), archives)
+    found = scratch.save("records", warc.read_archives(spark, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    scratch.drop("archives")
+    return found
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

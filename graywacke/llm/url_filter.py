@@ -1,10 +1,11 @@
 """URL filter: rules of hosts and paths, and a logistic regression on hashed character n-grams of host and path for the rest.
 
-The regression is trained in numpy from a small labelled URL table (labelled_urls() or the caller's). A URL's features are
+The regression is trained in numpy from a small labelled URL table (url_table.labelled_urls() or the caller's). A URL's features are
 the n-grams of its host and of its path, each sort apart, all of one weight: 1 / sqrt(their number).
 
 Cases: a null URL, or one without "://", has an empty host and path and is judged by the bias alone; equal URLs get equal
-verdicts; a URL is read whole; extra columns pass through; an empty table gives no rows.
+verdicts; a URL is read whole; extra columns pass through, those named like ADDED raise ValueError; an empty table
+gives no rows; fit() of no rows, or of one label, gives a model that knows the bias alone.
 """
 
 from __future__ import annotations
@@ -19,37 +20,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graywacke.llm.common import distinct_names
+
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
+#: Any digit is as good as another.
+DIGITS = str.maketrans("123456789", "000000000")
 #: Rules, at most: they are compiled into one CASE.
 MOST_RULES = 1000
-
-#: Words of unwanted sites and of others, from which the labelled table is put together.
-UNWANTED = "ad ads adult adsense adserver banner bet bets betting bitcoin bonus casino cash cheap click clickbait credit crypto dating deal escort essay fake farm forex free gambling jackpot keno link loan lottery pharma pills poker popup porn prize promo replica rx sex sexy slots spam survey tracker track traffic viagra warez win xxx x".split()
-WANTED = "academy archive art atlas blog book canon city college daily data docs edu field forum garden gazette guide health history home journal kitchen lab language law library local magazine map math media museum music nature news notes office open park people photo physics poetry post press project radio recipe research review river school science shop society sport star story studio study teacher theatre times tools travel tribune university village weather wiki world".split()
-SYLLABLES = "an ar ble den ed el en er es ga ha he in ing ion ist ka la li lo ly ma mer na nd ne no nt on or ou ra re ri ro sh st ta th ti tion to un ver wh".split()
-ENDINGS = ("com", "net", "org")
-
-
-def labelled_urls(n: int = 1500, seed: int = 3) -> list[tuple[str, int]]:
-    """A labelled table, made by rule: n URLs of unwanted sites (1) and 2 * n of others (0), known words and made-up ones."""
-    rng = np.random.default_rng(seed)
-    pick = lambda words: words[rng.integers(len(words))]
-    made = lambda: "".join(pick(SYLLABLES) for _ in range(rng.integers(2, 5)))
-    rows = []
-    for i in range(3 * n):
-        bad = i % 3 == 0
-        first, second = (pick(UNWANTED), pick(UNWANTED + WANTED[:20])) if bad else (pick(WANTED), made()) if i % 3 == 1 else (made(), "")
-        if bad and rng.random() < 0.5:
-            first, second = second, first
-        name = f"{first}{pick(['-', ''])}{second}" if second else first
-        front = pick(["", "", "www.", "m.", "blog.", "news."])
-        host = f"{front}{name}.{pick(['example.', '', ''])}{pick(ENDINGS)}"
-        path = f"/{pick(['en', 'de', 'fr', 'es', 'p', 'a', 'index', made()])}/{rng.integers(1, 1000)}{pick(['', '/', '.html', ''])}"
-        if bad and rng.random() < 0.2:
-            path = f"/{pick(UNWANTED)}{path}"
-        rows.append((f"{pick(['http', 'https'])}://{host}{path}", int(bad)))
-    return rows
+ADDED = ("host", "path", "rule", "unwanted", "verdict")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -61,7 +40,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 @lru_cache(1 << 16)
 def buckets(kind: str, text: str) -> np.ndarray:
-    framed = f"{kind}^{text}$".encode()
+    framed = f"{kind}^{text.translate(DIGITS)}$".encode()
     return np.array([zlib.crc32(framed[i : i + n], ord(kind)) % BUCKETS for n in SIZES for i in range(1, len(framed) - n + 1)], np.int64)
 
 
@@ -114,6 +93,7 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], model: Model, url: str = "url") -> DataFrame:
     """pages with host, path, rule, unwanted (the regression's probability) and verdict (allow or block)."""
+    distinct_names(pages, *ADDED)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
