@@ -8,7 +8,7 @@ turn's text, so that what is read back is what was written.
 
 spans has for each turn where its text starts, how long it is, and whether the loss counts it: the assistant's turns.
 
-Cases: a null text or role is empty; a null array of parts has none; turns of equal number follow by role, then text;
+Cases: a null text or role is empty; a part without a kind is text, one of any other kind stops the job; a null array of parts has none; turns of equal number follow by role, then text;
 repeated rows are turns of their own; an empty text gives an empty turn; extra columns are ignored. A conversation becomes
 one string, so one row holds it; turns are formatted before they are gathered.
 """
@@ -44,7 +44,8 @@ def text_part(text: Column) -> Column:
 def visit(parts: Column) -> Column:
     """The parts of a turn as text; placeholders carry their place in the turn, which numbered() makes one in the conversation."""
     def shown(p: Column) -> Column:
-        return F.when(p.kind.isin(*ATTACHED), F.concat(F.lit("<"), p.kind, F.lit(">"))).otherwise(escape(F.coalesce(p.text, F.lit(""))))
+        said = F.when(p.kind.isin(*ATTACHED), F.concat(F.lit("<"), p.kind, F.lit(">"))).when(F.coalesce(p.kind, F.lit("text")) == "text", escape(F.coalesce(p.text, F.lit(""))))
+        return said.otherwise(F.raise_error(F.concat(F.lit("no such kind of part: "), p.kind)).cast("string"))
 
     return F.coalesce(F.array_join(F.transform(parts, shown), ""), F.lit(""))
 

@@ -10,7 +10,7 @@ Fingerprints are taken from words in full lower case, which only adds candidates
 only A-Z are lower-cased, as two 64-bit hashes.
 
 Cases: a null or empty text has no words and no hits; documents and items are read whole; equal rows (doc_id and text)
-each get their row; items of equal words all count; an empty benchmark hits nothing; extra columns are ignored.
+each get their row; items of equal words all count, one without an id under an empty name; an empty benchmark hits nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,14 +41,14 @@ def fingerprints(hashes: str) -> Column:
 
 
 def runs(n: int) -> Column:
-    """From the array w of words: (place, h1, h2) of each run of n words; the two hashes stand for its words."""
-    return F.expr(f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> struct(i as place, xxhash64(slice(w, i + 1, {n})) as h1, xxhash64(slice(w, i + 1, {n}), 1) as h2)))")
+    """From the array w of words: (place, n, h1, h2) of each run of n words; the two hashes, of different seeds, stand for its words."""
+    return F.expr(f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> struct(i as place, {n} as n, xxhash64(slice(w, i + 1, {n})) as h1, xxhash64(1, slice(w, i + 1, {n})) as h2)))")
 
 
 def item_runs(items: DataFrame) -> DataFrame:
     """(item_id, n, h1, h2): the runs that count for each item."""
     split = items.select("item_id", words(F.col("text")).alias("w")).filter("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
-    each = F.expr("transform(sequence(0, size(w) - n), i -> struct(xxhash64(slice(w, i + 1, n)) as h1, xxhash64(slice(w, i + 1, n), 1) as h2))")
+    each = F.expr("transform(sequence(0, size(w) - n), i -> struct(xxhash64(slice(w, i + 1, n)) as h1, xxhash64(1, slice(w, i + 1, n)) as h2))")
     return split.select("item_id", "n", F.explode(each).alias("r")).select("item_id", "n", "r.*").distinct()
 
 
@@ -68,9 +68,12 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     seen = cut(seen.agg(F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, 1).otherwise(0)).alias("copies"), F.coalesce(F.max("shared"), F.lit(False)).alias("shared")))
 
     short = [r.n for r in targets.select("n").distinct().filter(F.col("n") < WINDOW).collect()]
-    hits = hit_runs(docs, seen.filter("shared").select("doc_id", "text_hash"), WINDOW, targets)
-    for n in short:
-        hits = hits.union(hit_runs(docs, seen.select("doc_id", "text_hash"), n, targets))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    wanted = bounded(cut(seen.filter("shared").select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"))))
+    hits = hit_runs(rows.join(wanted, F.expr("doc_id <=> their_id and text_hash <=> their_hash"), "left_semi"), [WINDOW], targets)
+    if short:
+        # One scan of all documents for the lengths of all short items.
+        hits = hits.union(hit_runs(rows, short, targets))
     hits = cut(hits)
 
     doc = ["doc_id", "text_hash"]
@@ -79,7 +82,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     places = hits.select(*doc, "place", (F.col("place") + F.col("n")).alias("end")).distinct()
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("place", before))
     covered = places.withColumn("fresh", fresh).groupBy(*doc).agg(F.sum("fresh").alias("n_hit"))
-    found = hits.select(*doc, "n", "h1", "h2").distinct().join(bounded(targets), ["n", "h1", "h2"]).select(*doc, F.col("item_id").cast("string").alias("item_id")).distinct()
+    found = hits.select(*doc, "n", "h1", "h2").distinct().join(bounded(targets), ["n", "h1", "h2"]).select(*doc, F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id")).distinct()
     named = found.groupBy(*doc).agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
     named = named.select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"), "item_ids")
     same = F.expr("doc_id <=> their_id and text_hash <=> their_hash")
@@ -92,10 +95,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     ).drop("copy")
 
 
-def hit_runs(docs: DataFrame, candidates: DataFrame, n: int, targets: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, place, n, h1, h2) for the runs of n words of the candidates that an item has."""
-    wanted = bounded(cut(candidates.select(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash"))))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.expr("doc_id <=> their_id and text_hash <=> their_hash"), "left_semi")
-    rows = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.explode(runs(n)).alias("r")).select("doc_id", "text_hash", "r.*")
-    mine = bounded(cut(targets.filter(F.col("n") == n).select("n", "h1", "h2").distinct()))
-    return rows.join(mine, ["h1", "h2"]).select("doc_id", "text_hash", "place", "n", "h1", "h2").distinct()
+def hit_runs(rows: DataFrame, lengths: list[int], targets: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, place, n, h1, h2) for the runs of these lengths, in rows (doc_id, text_hash, text), that an item has."""
+    split = rows.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+    each = split.select("doc_id", "text_hash", F.explode(F.concat(*map(runs, lengths))).alias("r")).select("doc_id", "text_hash", "r.*")
+    mine = bounded(cut(targets.filter(F.col("n").isin(lengths)).select("n", "h1", "h2").distinct()))
+    return each.join(mine, ["n", "h1", "h2"]).select("doc_id", "text_hash", "place", "n", "h1", "h2").distinct()

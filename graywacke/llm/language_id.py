@@ -6,8 +6,9 @@ name. N-grams are runs of one to three characters of words, a space standing for
 64-bit number (three code points), so nothing is hashed.
 
 Cases: a text that is null or has no letter is UNKNOWN with score 0; texts are read whole, whatever their length; equal
-texts get equal answers; with one learned language that one wins with score 1; with none fit() raises ValueError; extra
-columns pass through.
+texts get equal answers; with one learned language that one wins with score 1; with none (no rows, or no letters in them) every
+text is UNKNOWN; more than MOST_LANGUAGES raise ValueError; extra columns pass through, those named lang_pred or score raise
+ValueError.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import small_batches
+from graywacke.llm.common import distinct_names, small_batches
 from graywacke.llm.textvec import chunks
 
 UNKNOWN = "und"
@@ -29,7 +30,7 @@ UNKNOWN = "und"
 PROFILE = 400
 #: Texts of a language that its profile is learned from, at most (some more or fewer, as a hash picks them).
 TEXTS_PER_LANGUAGE = 500
-#: Languages, at most: a bound on what the driver holds.
+#: Languages, at most, a bound on what the driver holds: more are an error.
 MOST_LANGUAGES = 1000
 
 
@@ -77,7 +78,7 @@ class Profiles:
 
     def nearest(self, text: str | None) -> tuple[str, float]:
         points = codes(text or "")
-        if not len(points):
+        if not len(points) or not self.names:
             return UNKNOWN, 0.0
         ranked = top(*ngrams(points))
         place = np.arange(len(ranked))
@@ -90,17 +91,19 @@ class Profiles:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> Profiles:
-    """Profiles from about most texts of each language: rows are picked by their id's and text's hash, counted in Spark.
+    """Profiles from about most texts of each language: rows are picked by the hash of their text, with the id's, counted in Spark.
 
     The driver receives PROFILE n-grams a language.
     """
     small_batches(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().limit(MOST_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
-        raise ValueError("no text with a language")
+        return Profiles({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])[F.col(lang)]
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    picked = known.filter(F.pmod(F.xxhash64("doc_id", text), F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,6 +123,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TEX
 
 def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs with lang_pred and score: how much nearer the winner is than the next, from 0 to 1."""
+    distinct_names(docs, "lang_pred", "score")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -128,5 +132,5 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
         for batch in batches:
             yield pd.DataFrame([shared.value.nearest(t) for t in batch], columns=["lang_pred", "score"])
 
-    found = docs.withColumn("nearest_language", nearest(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("nearest_language.lang_pred"), "score": F.col("nearest_language.score")}).drop("nearest_language")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), nearest(F.col(text)).alias("nearest"))
+    return rows.select("row.*", "nearest.lang_pred", "nearest.score")

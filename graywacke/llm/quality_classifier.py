@@ -5,7 +5,8 @@ labelled texts (PER_CLASS of either class). A fitted model scores any number of
 the average, each n-gram's vector shrinks to one number, so that scoring is a look-up and a sum, all in numpy.
 
 Cases: a null or empty text has no n-grams and gets the score of the bias alone; a text of any length is scored whole;
-equal texts get equal scores; extra columns pass through; without labelled rows of both classes fit() raises ValueError.
+equal texts get equal scores; extra columns pass through, one named like the score raises ValueError; without labelled rows of
+both classes the model is a constant, which scores 1/2.
 """
 
 from __future__ import annotations
@@ -18,19 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import labelled_sample, small_batches
-from graywacke.llm.textvec import SPACE, M, Texts, U, chunks, grams, mix, owners
+from graywacke.llm.common import distinct_names, labelled_sample, small_batches
+from graywacke.llm.textvec import SPACE, Texts, U, chunks, grams, owners
 
 BUCKETS = 1 << 18
-#: Features besides the hashed ones: a run of three words that the document has had before.
-REPEATED = BUCKETS
 #: Labelled texts of either class to fit on, at most.
 PER_CLASS = 500
 CHARACTERS = (3, 4, 5)
 
 
 def features(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (feature numbers, positions of a byte of their text): words, pairs of words, repeated triples, and character n-grams of words.
+    """Pairs (feature numbers, positions of a byte of their text): words, pairs of words, and character n-grams of words.
 
     A character n-gram may begin or end with the white space beside a word, never hold any inside.
     """
@@ -41,13 +40,6 @@ def features(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if len(words) > 1:
         same = owner[1:] == owner[:-1]
         yield (grams(words, 2)[same] % U(BUCKETS)).astype(np.int64), starts[1:][same]
-    if len(words) > 2:
-        same = np.flatnonzero(owner[2:] == owner[:-2])
-        keys = mix(grams(words, 3)[same] + owner[same].astype(U) * M)
-        again = np.ones(len(keys), bool)
-        again[np.unique(keys, return_index=True)[1]] = False
-        again = starts[2:][same[again]]
-        yield np.full(len(again), REPEATED), again
     gap = np.zeros(len(texts.bytes) + 1, np.int64)
     np.cumsum(SPACE[texts.bytes], out=gap[1:])
     for n in CHARACTERS:
@@ -78,9 +70,9 @@ def train(sample: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: fl
     """Stochastic gradient descent, a document a step; the classes are drawn equally often, rate falls to zero."""
     by_class = [[t for t, y in sample if y == k] for k in (0, 1)]
     if not all(by_class):
-        raise ValueError("labelled texts of both classes are needed")
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS + 1, dim))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
     out = rng.normal(0, 0.1, (2, dim))
     bias = np.zeros(2)
     bags = []
@@ -114,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """docs with a column of the probability of label 1. The model is a megabyte of numbers, shipped to the tasks once."""
+    distinct_names(docs, into)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from graywacke.llm import chat, decontaminate, html_extract, language_id, minhash, packing, quality_classifier, quality_rules, url_filter, warc
+from graywacke.llm import chat, decontaminate, html_extract, language_id, minhash, packing, quality_classifier, quality_rules, url_filter, url_table, warc
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ODD = [(1, None), (2, ""), (3, " \n "), (4, "one"), (4, "one"), (None, "null id"), (5, "É é ß İ Σ ﬁ e\u0301 \x1c <|endoftext|> 3.14 it's ..."), (6, "word " * 3000)]
@@ -56,17 +56,23 @@ def test_near_duplicates_against_all_pairs(spark, turns):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), label[i], label[i] == i) for i in range(len(rows))}
 
 
-def test_the_exact_join_finds_what_pivots_leave(spark):
+@pytest.mark.parametrize("deviations", [minhash.DEVIATIONS, None])
+def test_the_exact_join_finds_what_pivots_leave(spark, deviations):
     rows = texts(150, 7)
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    reps = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(minhash.sets(rows))], "node long, doc long, n_shingles long")
-    reps = reps.join(docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("rep_hash")), "doc")
-    keys = minhash.prefixes(reps.select("node", F.col("node").alias("component")), docs, reps, 5, 75)
-    pairs = {(r.a, r.b) for r in minhash.across(keys, 75, minhash.DEVIATIONS).collect()}
+    found = [(i, len(x), x.view(np.int64).tolist()) for i, x in enumerate(minhash.sets(rows))]
+    nodes = minhash.sketched(spark.createDataFrame(found, "node long, n_shingles long, shingles array<long>"))
+    keys = minhash.prefixes(nodes, 75).withColumn("component", F.col("node"))
+    pairs = {(r.a, r.b) for r in minhash.across(keys, 75, deviations).collect()}
     sets, _ = brute_components(rows)
     assert {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} <= pairs
 
 
+def test_near_duplicates_keeps_ids_beyond_doubles(spark):
+    rows = [(2**53 + 1, "a b c d e f"), (None, "a b c d e f"), (2**53 - 1, "x y"), (2**53, "q")]
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(2**53 + 1, 2**53 + 1), (None, 2**53 + 1), (2**53 - 1, 2**53 - 1), (2**53, 2**53)}
+
+
 def test_near_duplicates_of_odd_and_no_rows(spark):
     found = minhash.near_duplicates(odd(spark)).collect()
     assert len(found) == len(ODD) and {r.component_id for r in found if r.doc_id == 4} == {4}
@@ -204,8 +210,8 @@ def test_classifier_learns_and_scores_alone_as_in_company(spark):
     together = model.scores([good[0], "", None, "x", bad[0]])
     assert np.allclose(together, [model.scores([t])[0] for t in (good[0], "", None, "x", bad[0])])
     assert quality_classifier.score(odd(spark), model).count() == len(ODD)
-    with pytest.raises(ValueError):
-        quality_classifier.train([("a", 1)])
+    # Of one class there is nothing to learn: a constant.
+    assert quality_classifier.train([("a", 1)]).scores(["a", None]).tolist() == [0.5, 0.5]
 
 
 def test_language_profiles(spark):
@@ -215,14 +221,17 @@ def test_language_profiles(spark):
     said = {r.text: r.lang_pred for r in language_id.predict(spark.createDataFrame([(1, "the house of the cats", "", ""), (2, "die Katze und der Hund", "", ""), (3, "les chats dans la maison", "", ""), (4, None, "", ""), (5, "123 !", "", "")], SCHEMA), profiles).collect()}
     assert list(said.values()) == ["en", "de", "fr", "und", "und"]
     assert language_id.predict(docs.limit(0), profiles).count() == 0
-    with pytest.raises(ValueError):
-        language_id.fit(docs.limit(0))
+    none = language_id.fit(docs.limit(0))
+    assert {(r.lang_pred, r.score) for r in language_id.predict(docs, none).collect()} == {("und", 0.0)}
+    same = docs.withColumn("doc_id", F.lit(1).cast("long"))
+    assert language_id.fit(same.withColumn("text", F.lit("1 2 3"))).names == []
+    assert language_id.fit(same).names == ["de", "en", "fr"]
 
 
 def test_url_rules_and_parts(spark):
     urls = ["http://Example.com/en/1?x#y", "https://www.EXAMPLE.com/en/1", "ftp://a.net/es/", "http://a.net?/es/", "http://casino-pills.org/win", "http://com/", "no scheme", None, "http://xcom/", "a://b://c/d"]
     rules = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"))
-    model = url_filter.fit(url_filter.labelled_urls(300), epochs=10)
+    model = url_filter.fit(url_table.labelled_urls())
     rows = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), rules, model).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule) for r in rows] == [("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("a.net", "/es/", "net/es/"), ("a.net", "", None), ("casino-pills.org", "/win", None), ("com", "/", "com/"), ("", "", None), ("", "", None), ("xcom", "/", None), ("b:", "//c/d", None)]
     assert rows[4].verdict == "block" and rows[0].verdict == "block" and rows[1].verdict == "allow"
