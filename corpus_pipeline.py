@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 and so has what every stage but the last returns. Models are learned from the labelled rows of documents in sf_dir, a bounded
 sample of them, so that a stage's model doesn't depend on what earlier stages left.
 
-Cases: an empty docs gives empty results; rows that repeat are kept or dropped together by the filters, and one document id
-of a group of near-duplicates stays; null texts have no words and fail the quality rules.
+Cases, for every stage: an empty docs gives no rows, and where nothing is labelled the models keep all that pass the base rules;
+rows that repeat are kept or dropped together; a null or empty text has no words and fails the quality rules, later stages would
+keep it; rows with a null id count, told apart by their text; texts are judged whole; extra columns pass through whatever their
+names, as a row travels as one struct. Packing returns its own columns.
 """
 
 from __future__ import annotations
@@ -18,30 +20,38 @@ from graywacke.llm.common import Scratch, bounded, cut
 from graywacke.llm.queries import TOKENIZER, table
 
 
+def held(docs: DataFrame) -> DataFrame:
+    """Rows of docs as one column, row, beside what stages look at."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows of the ids and text hashes in found."""
+    gone = bounded(cut(found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()))
+    rows = held(docs).select("row", "doc_id", F.xxhash64("text").alias("text_hash"))
+    return rows.join(gone, F.expr("doc_id <=> gone_id and text_hash = gone_hash"), "left_anti").select("row.*")
+
+
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what fails the base rules or is an anomaly among labelled documents."""
     forests = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, forests).filter("rules.kept").select(docs.columns)
+    return quality_rules.judge(held(docs), forests).filter("rules.kept").select("row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is likelier of label 0."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, into="quality_score").filter("quality_score >= 0.5").select(docs.columns)
+    return quality_classifier.score(held(docs), model).filter("score >= 0.5").select("row.*")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: that with the smallest id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), hashes=True)
-    dropped = bounded(cut(found.filter("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct()))
-    return docs.join(dropped, F.expr("doc_id <=> dropped_id and xxhash64(text) = dropped_hash"), "left_anti")
+    return without(docs, minhash.near_duplicates(docs.select("doc_id", "text"), hashes=True).filter("not kept"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that share a run of words with the benchmark."""
-    found = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    hit = bounded(cut(found.filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()))
-    return docs.join(hit, F.expr("doc_id <=> hit_id and xxhash64(text) = hit_hash"), "left_anti")
+    return without(docs, decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).filter("contaminated"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; each but the last is written to the shared folder and read again, until the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.save(name, stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            scratch.drop(before)
+        before = name
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    scratch.drop()  # packing has saved its pieces
+    return packed
