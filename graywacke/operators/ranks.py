@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that values are dealt into: a range is ranked in one task.
+RANGES = 64
+
+
+def ranges(df: DataFrame, value: str, n: int = RANGES) -> Column:
+    """The number of the range that a value is in, for about n ranges of equally many rows of df.
+
+    The bounds are constants, so that a row's range is the same however often and wherever it is computed.
+    """
+    bounds = sorted(set(df.approxQuantile(value, [k / n for k in range(1, n)], 0.1 / n)))
+    return F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col(value)))
+
 
 def value_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by..., value, ties, below): for each distinct value how many rows have it and how many rows are smaller.
 
-    With groups, ranks are within each group. Without, values are dealt by range; a partition's rows are ranked in it and the
-    totals of the partitions before it, a row for each partition, are added.
+    With groups, ranks are within each group. Without, values are dealt by range; a range's rows are ranked in it and the
+    totals of the ranges before it, a row for each range, are added.
     """
     counts = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*(by or []), value).agg(F.count(F.lit(1)).alias("ties"))
     if by:
         before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("below", F.coalesce(F.sum("ties").over(before), F.lit(0)))
-    dealt = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()).persist()
+    dealt = counts.withColumn("part", ranges(counts.withColumn(value, F.col(value).cast("double")), value))
     totals = dealt.groupBy("part").agg(F.sum("ties").alias("total"))
     start = totals.withColumn("start", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("total")
     before = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
