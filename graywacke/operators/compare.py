@@ -60,7 +60,7 @@ def levene(df: DataFrame, value: str, group: str) -> DataFrame:
     """Levene's test about the medians (Brown and Forsythe): an ANOVA of absolute deviations."""
     rows = _clean(df, value, group)
     middle = rows.groupBy("g").agg(F.percentile("v", F.lit(0.5)).alias("middle"))
-    return anova(rows.join(F.broadcast(middle), "g").select("g", F.abs(F.col("v") - F.col("middle")).alias("d")), "d", "g")
+    return anova(rows.join(middle, "g").select("g", F.abs(F.col("v") - F.col("middle")).alias("d")), "d", "g")
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,17 @@ def retention(events: DataFrame, user: str = "user_id", ts: str = "ts") -> DataF
 def funnel(events: DataFrame, steps: list[str], user: str = "user_id", ts: str = "ts", kind: str = "event_type") -> DataFrame:
     """step_no, step, users: users whose first event of a step comes after their time at the step before it.
 
-    One aggregation by user: the times of each step are gathered sorted, then each step takes the first time after the last.
+    Of each step the first time after the last is a minimum over a join by user, so that no user's events meet in one row.
     """
-    times = events.filter(F.col(kind).isin(*steps) & F.col(user).isNotNull()).groupBy(user).agg(*[F.array_sort(F.collect_set(F.when(F.col(kind) == s, F.col(ts)))).alias(f"t{i}") for i, s in enumerate(steps)])
-    reached = times.withColumn("at0", F.try_element_at("t0", F.lit(1)))
-    for i in range(1, len(steps)):
-        reached = reached.withColumn(f"at{i}", F.expr(f"try_element_at(filter(t{i}, x -> x > at{i - 1}), 1)"))
-    rows = F.array(*[F.struct(F.lit(i + 1).alias("step_no"), F.lit(s).alias("step"), F.count(f"at{i}").alias("users")) for i, s in enumerate(steps)])
-    return reached.agg(rows.alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
+    rows = events.filter(F.col(kind).isin(*steps) & F.col(user).isNotNull() & F.col(ts).isNotNull()).select(F.col(user).alias("u"), F.col(ts).alias("t"), F.col(kind).alias("kind"))
+    reached, counts = None, []
+    for i, step in enumerate(steps):
+        of_step = rows.filter(F.col("kind") == step)
+        if reached is not None:
+            of_step = of_step.join(reached, "u").filter(F.col("t") > F.col("reached"))
+        reached = of_step.groupBy("u").agg(F.min("t").alias("reached"))
+        counts.append(reached.agg(F.count(F.lit(1)).alias("users")).select(F.lit(i + 1).alias("step_no"), F.lit(step).alias("step"), "users"))
+    return reduce(DataFrame.unionByName, counts)
 
 
 def episodes(levels: DataFrame, threshold: float, key: str, ts: str = "ts", level: str = "level_db", gap_seconds: int = 1800) -> DataFrame:
