@@ -182,7 +182,8 @@ def threshold(levels: np.ndarray, good: np.ndarray, bad: np.ndarray, of_good: in
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str, grown: list[Forest]) -> DataFrame:
-    """(label, scores): the score of each forest for all labelled texts that pass the base rules.
+    """(label, scores): the score of each forest for all labelled texts; null where the base rules fail. No filter on that here: Spark
+    would push it below the function's result and measure each text twice.
 
     Only labelled texts are measured where their ids may be broadcast; else all are, so that no text is dealt.
     """
@@ -204,9 +205,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str, grown: list[Forest])
     known, texts = cut(known_labels(labels, label)), docs.select("doc_id", "text").filter(F.col("text").isNotNull())
     few = bounded(known)
     if few is known:
-        rows = texts.select("doc_id", scores("text").alias("scores")).filter(F.col("scores").isNotNull()).join(known, "doc_id")
+        rows = texts.select("doc_id", scores("text").alias("scores")).join(known, "doc_id")
     else:
-        rows = texts.join(few, "doc_id").select("label", scores("text").alias("scores")).filter(F.col("scores").isNotNull())
+        rows = texts.join(few, "doc_id").select("label", scores("text").alias("scores"))
     return cut(rows.select("label", "scores"))
 
 
