@@ -21,27 +21,26 @@ from graywacke.llm.queries import TOKENIZER, table
 
 
 def held(docs: DataFrame) -> DataFrame:
-    """Rows of docs as one column, row, beside what stages look at."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+    """Each row of docs as one column, row."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs without the rows of the ids and text hashes in found."""
     gone = bounded(cut(found.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()))
-    rows = held(docs).select("row", "doc_id", F.xxhash64("text").alias("text_hash"))
-    return rows.join(gone, F.expr("doc_id <=> gone_id and text_hash = gone_hash"), "left_anti").select("row.*")
+    return held(docs).join(gone, F.expr("row.doc_id <=> gone_id and xxhash64(row.text) = gone_hash"), "left_anti").select("row.*")
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what fails the base rules or is an anomaly among labelled documents."""
     forests = quality_rules.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_rules.judge(held(docs), forests).filter("rules.kept").select("row.*")
+    return quality_rules.judge(held(docs), forests, "row.text").filter("rules.kept").select("row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what is likelier of label 0."""
     model = quality_classifier.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_classifier.score(held(docs), model).filter("score >= 0.5").select("row.*")
+    return quality_classifier.score(held(docs), model, "row.text").filter("score >= 0.5").select("row.*")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
