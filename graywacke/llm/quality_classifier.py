@@ -20,16 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graywacke.llm.common import distinct_names, labelled_sample, small_batches
-from graywacke.llm.textvec import SPACE, Texts, U, chunks, grams, owners
+from graywacke.llm.textvec import SPACE, M, Texts, U, chunks, grams, mix, owners
 
 BUCKETS = 1 << 18
+#: One feature besides the hashed ones, with a learned vector like theirs: a run of three words that the document has had before. An
+#: average of n-grams doesn't know what repeats; the README has figures without it.
+REPEATED = BUCKETS
 #: Labelled texts of either class to fit on, at most.
 PER_CLASS = 500
 CHARACTERS = (3, 4, 5)
 
 
 def features(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (feature numbers, positions of a byte of their text): words, pairs of words, and character n-grams of words.
+    """Pairs (feature numbers, positions of a byte of their text): words, pairs of words, repeated triples, and character n-grams of words.
 
     A character n-gram may begin or end with the white space beside a word, never hold any inside.
     """
@@ -40,6 +43,13 @@ def features(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if len(words) > 1:
         same = owner[1:] == owner[:-1]
         yield (grams(words, 2)[same] % U(BUCKETS)).astype(np.int64), starts[1:][same]
+    if len(words) > 2:
+        same = np.flatnonzero(owner[2:] == owner[:-2])
+        keys = mix(grams(words, 3)[same] + owner[same].astype(U) * M)
+        again = np.ones(len(keys), bool)
+        again[np.unique(keys, return_index=True)[1]] = False
+        again = starts[2:][same[again]]
+        yield np.full(len(again), REPEATED), again
     gap = np.zeros(len(texts.bytes) + 1, np.int64)
     np.cumsum(SPACE[texts.bytes], out=gap[1:])
     for n in CHARACTERS:
@@ -70,9 +80,9 @@ def train(sample: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: fl
     """Stochastic gradient descent, a document a step; the classes are drawn equally often, rate falls to zero."""
     by_class = [[t for t, y in sample if y == k] for k in (0, 1)]
     if not all(by_class):
-        return Model(np.zeros(BUCKETS, np.float32), 0.0)
+        return Model(np.zeros(BUCKETS + 1, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim))
+    vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS + 1, dim))
     out = rng.normal(0, 0.1, (2, dim))
     bias = np.zeros(2)
     bags = []

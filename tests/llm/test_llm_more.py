@@ -121,11 +121,12 @@ def test_url_scores_against_brute_force_and_held_out(spark):
 
 def test_classifier_against_brute_force():
     rng = np.random.default_rng(3)
-    model = quality_classifier.Model(rng.normal(size=quality_classifier.BUCKETS).astype(np.float32), 0.25)
+    model = quality_classifier.Model(rng.normal(size=quality_classifier.BUCKETS + 1).astype(np.float32), 0.25)
     for text in ("", None, "one", "two words", "é ü\n ab  c", "word " * 40):
         ids = [i for ids, _ in quality_classifier.features(quality_classifier.Texts([text])) for i in ids]
         w = (text or "").split()
-        expected = len(w) + max(0, len(w) - 1)
+        triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        expected = len(w) + max(0, len(w) - 1) + len(triples) - len(set(triples))
         framed = "\n" + (text or "") + "\n"
         data = framed.encode()
         space = [b in (32, 9, 10, 11, 12, 13) for b in data]
