@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from graywacke.functions.special import log_gamma, p_chi2
+from graywacke.functions import special
 
 #: Distinct values up to which a column of numbers counts as a category, and the share of values that must be numbers for a measurement.
 MOST_LEVELS, LEAST_NUMBERS = 10, 0.95
@@ -32,14 +32,14 @@ def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
     m = cells.join(rows, "a").join(columns, "b").crossJoin(F.broadcast(total)).agg(F.sum(F.expr("cast(n as double) * n * total / (cast(na as double) * nb)")).alias("s"), F.max("total").alias("n"))
     sizes = rows.agg(F.count(F.lit(1)).alias("r"), F.min("na").alias("ra")).crossJoin(F.broadcast(columns.agg(F.count(F.lit(1)).alias("c"), F.min("nb").alias("cb"))))
     m = m.crossJoin(F.broadcast(sizes)).selectExpr("greatest(0, s - n) as chi2", "cast((r - 1) * (c - 1) as double) as df", "least(r, c) - 1 as k", "cast(ra as double) * cb / n as least_expected", "n")
-    return m.select("chi2", "df", F.when(F.col("df") > 0, p_chi2("chi2", "df")).alias("p"), F.expr("sqrt(chi2 / nullif(n * k, 0))").alias("cramers_v"), "least_expected", "n")
+    return m.select("chi2", "df", F.when(F.col("df") > 0, special.p_chi2("chi2", "df")).alias("p"), F.expr("sqrt(chi2 / nullif(n * k, 0))").alias("cramers_v"), "least_expected", "n")
 
 
 @F.pandas_udf(DoubleType())
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     def one(a: int, b: int, c: int, d: int) -> float:
         x = np.arange(max(0, a - d), min(a + b, a + c) + 1)
-        logs = -(log_gamma(x + 1.0) + log_gamma(a + b - x + 1.0) + log_gamma(a + c - x + 1.0) + log_gamma(d - a + x + 1.0))
+        logs = -(special.log_gamma(x + 1.0) + special.log_gamma(a + b - x + 1.0) + special.log_gamma(a + c - x + 1.0) + special.log_gamma(d - a + x + 1.0))
         logs -= logs.max()
         odds = np.exp(logs)
         return min(1.0, float(odds[odds <= odds[a - x[0]] * (1 + 1e-7)].sum() / odds.sum()))
@@ -58,7 +58,7 @@ def fisher(df: DataFrame, a: str, b: str) -> DataFrame:
 def p_few_together(n_ab: pd.Series, n_a: pd.Series, n_b: pd.Series, n: pd.Series) -> pd.Series:
     """The hypergeometric chance of so few or fewer common ones, where n_a and n_b of n are drawn apart from each other."""
     def choose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return log_gamma(a + 1.0) - log_gamma(b + 1.0) - log_gamma(a - b + 1.0)
+        return special.log_gamma(a + 1.0) - special.log_gamma(b + 1.0) - special.log_gamma(a - b + 1.0)
 
     def one(k: int, a: int, b: int, n: int) -> float:
         x = np.arange(max(0, a + b - n), k + 1)
