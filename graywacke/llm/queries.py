@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywacke.llm import chat, decontaminate, html_extract, language_id, minhash, packing, quality_classifier, quality_rules, url_filter, url_table, warc
+from graywacke.llm import chat, decontaminate, fill_in_middle, filter_audit, html_extract, language_id, line_dedup, minhash, packing, quality_classifier, quality_rules, url_filter, url_table, warc
 from graywacke.llm.common import Scratch, remainder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -88,9 +88,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.join(sizes.withColumnRenamed("conv_id", "its_id"), F.expr("conv_id <=> its_id")).drop("its_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.failures(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(flags)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle.transformed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    again = F.sha2(fill_in_middle.restored("output", "form"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), again.alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_url_filter, op2_quality_classifier, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_html_extraction, op8_minhash, op9_warc, op10_chat_format,
+        op1_url_filter, op2_quality_classifier, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_quality_rules, op7_html_extraction, op8_minhash, op9_warc, op10_chat_format, op11_filter_audit, op12_line_dedup, op13_fill_in_middle,
     )}
 
 
@@ -133,6 +149,38 @@ ORACLE = {
         select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
                coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
         from sized group by conv_id""",
+    "op11_filter_audit": r"""
+        with doc as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+        mark as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+        flag as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+                   case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+                   || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) then 'C' else '' end
+                   || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end as failed
+                 from doc left join mark using (doc_id)),
+        alike as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from flag group by all),
+        letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as k),
+        ordered as (select a.k || b.k || c.k || d.k || e.k as o from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+        step as (select o, s, o[s] as k, o[1:s - 1] as earlier from ordered, unnest(range(1, 6)) as r(s)),
+        met as (select part, o, s, k, n, good, toxic, contains(failed, k) as fails, length(translate(failed, earlier, '')) < length(failed) as gone, failed = k as only_k from alike, step),
+        told as (select part, o, s, k, coalesce(sum(n) filter (not fails and not gone), 0) as kept, coalesce(sum(n) filter (fails and not gone), 0) as removed, coalesce(sum(n) filter (fails and gone), 0) as redundant,
+                   coalesce(sum(n) filter (only_k), 0) as unique_fails, coalesce(sum(good) filter (fails and not gone), 0) as good_lost, coalesce(sum(toxic) filter (fails and not gone), 0) as toxic_lost from met group by part, o, s, k)
+        select part, o as filter_order, s::int as step, k as filter, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+               good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, sum(removed) over (partition by part, k)::bigint as shapley from told""",
+    "op12_line_dedup": r"""
+        with line as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place from documents),
+        keyed as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line),
+        shared as (select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+        select doc_id, count(*)::bigint as n_lines, count(shared.key)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (shared.key is null), '')) as kept_sha256
+        from keyed left join shared using (key) group by doc_id""",
+    "op13_fill_in_middle": r"""
+        with doc as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as t, sha256('1:' || doc_id) as h from documents),
+        rolled as (select *, len(t) as n, list_transform(range(4), lambda k: ('0x' || h[8 * k + 1:8 * k + 8])::bigint) as d from doc),
+        cut as (select *, least(d[1] % (n + 1), d[2] % (n + 1)) as a, greatest(d[1] % (n + 1), d[2] % (n + 1)) as b,
+                  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or d[3] % 100 >= 90 then 'plain' when d[4] % 100 < 20 then 'spm' else 'psm' end as form from rolled),
+        part as (select *, array_to_string(t[1:a], '') as prefix, array_to_string(t[a + 1:b], '') as middle, array_to_string(t[b + 1:], '') as suffix from cut)
+        select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+               sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256
+        from part""",
 }
 
 
