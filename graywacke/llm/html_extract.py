@@ -10,7 +10,7 @@ pages that have it, a node has two importances:
   over its blocks on all pages.
 
 Each page is then cut from the root down. A branch with an important node is entered, its sister branches without one go where
-they hold less text than it; the first important node that isn't itself mostly one important branch stays whole. Blocks of text
+they hold less text than it, unless at least half of their text is headings and paragraphs of great content importance; the first important node that isn't itself mostly one important branch stays whole. Blocks of text
 of little content importance outside articles, in nodes of little, go too. Equal pages of a host count as one.
 
 Markup comes second, as a prior for what entropies can't tell: article and main elements are important from the start, what is
@@ -59,6 +59,8 @@ ENDS = {t: ({"p"}, {"button", "table", "object"}) for t in BLOCK} | {
     "li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "body": ({"head", "p"}, set()),
 }
+#: Elements of running text: a branch of them with text of its own is no furniture, however short.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 FURNITURE_TAGS = frozenset("head nav footer aside form dialog button select option datalist template svg canvas object audio video map menu".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
 FURNITURE_WORDS = frozenset(
@@ -174,12 +176,19 @@ class Page:
                 del self.open[i:]
                 return
 
-    def cut(self, varied: frozenset[int], markup: bool = True) -> list[bool]:
-        """Which elements the site's tree drops, text and all; varied: the paths of important nodes."""
+    def cut(self, varied: frozenset[int], markup: bool = True, drop: frozenset[tuple[int, int]] = frozenset()) -> list[bool]:
+        """Which elements the site's tree drops, text and all; varied: the paths of important nodes, drop: blocks of little importance.
+
+        A branch stays if at least half its text is headings and paragraphs that are important in themselves, as few other pages have them.
+        """
         n = len(self.elements)
-        named, own, within, size = [False] * n, [False] * n, [False] * n, [0] * n
+        named, own, within, size, fresh = [False] * n, [False] * n, [False] * n, [0] * n, [0] * n
         for e, text in self.blocks:
             size[e.at] += len(text)
+            node = e
+            while node.up is not None and node.path == node.up.path:
+                node = node.up  # inline elements are no nodes
+            fresh[e.at] += len(text) * (node.name in PROSE and (not drop or (e.path, fingerprint(text)) not in drop))
         alone = size[:]
         for k, e in enumerate(self.elements):
             named[k] = markup and (e.named or e.form or e.marked and not e.holds or e.up is not None and named[e.up.at])
@@ -188,6 +197,7 @@ class Page:
         for k in range(n - 1, 0, -1):
             up = self.elements[k].up.at
             size[up] += size[k]
+            fresh[up] += fresh[k]
             if within[k]:
                 within[up], vital[up], best[up] = True, vital[up] + size[k], max(best[up], size[k])
         gone, whole = [False] * n, [False] * n
@@ -197,7 +207,7 @@ class Page:
                 gone[k], whole[k] = gone[up], whole[up]
             elif not within[k]:
                 # Of an open parent only branches with as much text as its important ones stay; text of its own below.
-                gone[k], whole[k] = k > 0 and size[k] < vital[up], True
+                gone[k], whole[k] = k > 0 and size[k] < vital[up] and 2 * fresh[k] < size[k], True
             else:
                 whole[k] = own[k] and 2 * best[k] < size[k] or not vital[k]
         return [g or not w and alone[k] < vital[k] for k, (g, w) in enumerate(zip(gone, whole))]
@@ -210,13 +220,13 @@ class Page:
         left = [(e, text) for e, text in self.blocks if not out[e.at] and not gone[e.at]]
         return [b for b in left if b[0].article] or [b for b in left if b[0].main] or left
 
-    def kept(self, varied: frozenset[int] = frozenset(), markup: bool = True) -> list[tuple[int, str, bool]]:
+    def kept(self, varied: frozenset[int] = frozenset(), markup: bool = True, drop: frozenset[tuple[int, int]] = frozenset()) -> list[tuple[int, str, bool]]:
         """(path, text, whether inside an article) of the blocks that the site's tree leaves, and then the page's own markup.
 
         A class or id doesn't make furniture of what holds an article or main element, unless another such element stands
         outside: comments and teasers are often articles of their own. Where classes, ids and forms leave no text they don't count.
         """
-        gone = self.cut(varied, markup)
+        gone = self.cut(varied, markup, drop)
         if not markup:
             left = [(e, text) for e, text in self.blocks if not gone[e.at] and e.name not in RAW and not (e.up and e.up.name == "head")]
             return [(e.path, text, e.article) for e, text in left]
@@ -293,7 +303,7 @@ def main_text(source: str | None, varied: frozenset[int] = frozenset(), drop: fr
 
     Without markup only the tree counts, and that scripts, styles and the head hold no text to read.
     """
-    blocks = Page(source or "").kept(varied, markup)
+    blocks = Page(source or "").kept(varied, markup, drop)
     return "\n\n".join(text for path, text, article in blocks if article or not drop or (path, fingerprint(text)) not in drop)
 
 
