@@ -6,7 +6,7 @@ name. N-grams are runs of one to three characters of words, a space standing for
 64-bit number (three code points), so nothing is hashed.
 
 Cases: a text that is null or has no letter is UNKNOWN with score 0; texts are read whole, whatever their length; equal
-texts get equal answers; with one learned language that one wins with score 1; with none (no rows, or no letters in them) every
+texts get equal answers and are learned from once a language; every language with a letter in its texts is learned; with one learned language that one wins with score 1; with none (no rows, or no letters in them) every
 text is UNKNOWN; more than MOST_LANGUAGES raise ValueError; extra columns pass through, those named lang_pred or score raise
 ValueError.
 """
@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import distinct_names, small_batches
+from graywacke.llm.common import bounded, cut, distinct_names, small_batches
 from graywacke.llm.textvec import chunks
 
 UNKNOWN = "und"
 #: Places of a profile, and of what is compared with it.
 PROFILE = 400
-#: Texts of a language that its profile is learned from, at most (some more or fewer, as a hash picks them).
-TEXTS_PER_LANGUAGE = 500
+#: Different texts of a language that its profile is learned from, at most, and the shares that a hash deals texts into.
+TEXTS_PER_LANGUAGE, SHARES = 500, 1_000_000_007
 #: Languages, at most, a bound on what the driver holds: more are an error.
 MOST_LANGUAGES = 1000
 
@@ -91,19 +91,24 @@ class Profiles:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> Profiles:
-    """Profiles from about most texts of each language: rows are picked by the hash of their text, with the id's, counted in Spark.
+    """Profiles from most different texts of each language, the first by a hash among those with a letter, counted in Spark.
 
+    Equal texts of a language count once: else they would all be picked or missed together, and a language with few others be lost.
     The driver receives PROFILE n-grams a language.
     """
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().limit(MOST_LANGUAGES + 1).collect()}
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    sizes = {r[0]: r[1] for r in known.select("lang", "text_hash").distinct().groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Profiles({})
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])[F.col(lang)]
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", text), F.lit(1_000_003)) < share * 1_000_003).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # A hash thins long lists out to about four times what is taken, so that no list that is put in order grows with the data.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, SHARES if n <= 8 * most else 4 * most * SHARES // n + 1)])[F.col("lang")]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(2), "text_hash"), "text_hash")
+    taken = known.filter(F.pmod(F.xxhash64(F.lit(1), "text_hash"), F.lit(SHARES)) < share).select("lang", "text_hash").distinct()
+    taken = bounded(cut(taken.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")))
+    picked = known.join(taken, ["lang", "text_hash"]).groupBy("lang", "text_hash").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
