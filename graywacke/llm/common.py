@@ -74,6 +74,23 @@ def bounded(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (total or 0) <= most else df
 
 
+#: A key is hot if it has more than one in so many of the rows to be met; there can't be more hot keys than that.
+HOT_SHARE = 100_000
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, most: int = BROADCAST_BYTES, share: int = HOT_SHARE) -> DataFrame:
+    """rows joined with keys, which have one row a key and in weight how many rows have it; keys should have been cut or written.
+
+    Where the keys are too many to broadcast, the hot ones still are, as share bounds them; a key that is shuffled then has at most one in share of the rows.
+    """
+    n_keys, total = keys.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if (n_keys or 0) * (ROW_BYTES + VALUE_BYTES * len(keys.columns)) <= most:
+        return rows.join(F.broadcast(keys.drop(weight)), on)
+    hot = F.broadcast(keys.filter(F.col(weight) * share > total).drop(weight))
+    cold = keys.filter(F.col(weight) * share <= total).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
 def distinct_names(df: DataFrame, *added: str) -> None:
     """ValueError if df has a column that an operator is about to add: none is overwritten. Names count without regard to case."""
     if taken := sorted({c for c in df.columns if c.lower() in {a.lower() for a in added}}):

@@ -20,14 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graywacke.llm.common import BROADCAST_BYTES, cut, distinct_names, small_batches
+from graywacke.llm.common import BROADCAST_BYTES, HOT_SHARE, cut, distinct_names, small_batches, with_keys
 
 #: Documents that make a line a shared one, and the shortest key that counts.
 DOCUMENTS, LEAST = 10, 1
-#: A key is hot if it has more than one in so many of the places to be dropped; there can't be more hot keys than that.
-HOT_SHARE = 100_000
-#: What a key counts for where it is broadcast.
-KEY_BYTES = 32
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDED = ("n_lines", "n_dropped", "kept_text")
@@ -55,17 +51,6 @@ def shared_keys(lines: DataFrame, documents: int) -> DataFrame:
     return counted.filter(F.col("n_documents") >= documents).select("h1", "h2", "n_places")
 
 
-def with_keys(lines: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """The lines that have one of these keys. Where the keys are too many to broadcast, the hot ones still are: HOT_SHARE bounds them."""
-    n_keys, n_places = keys.agg(F.count(F.lit(1)), F.sum("n_places")).first()
-    pair = ["h1", "h2"]
-    if n_keys * KEY_BYTES <= most:
-        return lines.join(F.broadcast(keys.select(pair)), pair, "left_semi")
-    hot = F.broadcast(keys.filter(F.col("n_places") * HOT_SHARE > n_places).select(pair))
-    cold = keys.filter(F.col("n_places") * HOT_SHARE <= n_places).select(pair)
-    return lines.join(hot, pair, "left_semi").unionByName(lines.join(hot, pair, "left_anti").join(cold, pair, "left_semi"))
-
-
 def reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows that end with a text and the sorted places of its lines to drop: the rows, counts of lines and what is kept of the text."""
     for batch in batches:
@@ -83,13 +68,13 @@ def reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, *added], [*batch.schema.names[:-2], *ADDED])
 
 
-def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, least: int = LEAST, text: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; docs has doc_id and the text. most: bytes of keys up to which they are broadcast."""
+def deduplicated(docs: DataFrame, documents: int = DOCUMENTS, least: int = LEAST, text: str = "text", most: int = BROADCAST_BYTES, share: int = HOT_SHARE) -> DataFrame:
+    """docs with n_lines, n_dropped and kept_text; docs has doc_id and the text. most, share: when keys are broadcast."""
     distinct_names(docs, *ADDED)
     small_batches(docs.sparkSession)
     lines = keyed_lines(docs, least, text)
     keys = cut(shared_keys(lines, documents))
-    gone = with_keys(lines, keys, most).groupBy(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash")).agg(F.array_sort(F.collect_set("place")).alias("their_places"))
+    gone = with_keys(lines, keys, ["h1", "h2"], "n_places", most, share).groupBy(F.col("doc_id").alias("their_id"), F.col("text_hash").alias("their_hash")).agg(F.array_sort(F.collect_set("place")).alias("their_places"))
     whole = F.coalesce(text, F.lit(""))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("our_id"), F.xxhash64(whole).alias("our_hash"), whole.alias("our_text"))
     met = row.join(gone, F.expr("our_id <=> their_id and our_hash = their_hash"), "left").select("row", "our_text", "their_places")

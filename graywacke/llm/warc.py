@@ -2,9 +2,10 @@
 
 write_archives() deduplicates by payload: of pages with equal payloads the one with the largest id is written as a
 response, the others as revisit records that refer to it and hold its HTTP headers only. A task writes archives of about
-ARCHIVE_BYTES into the shared folder, each under a name of its own and by way of a temporary one, so that a task that runs
-again replaces what it wrote. read_archives() reads them back: it takes the dictionary from the first frame, walks from
-frame to frame by their block headers, decodes each alone, and validates version, named headers, lengths and digests.
+ARCHIVE_BYTES into the shared folder under names of its own attempt; the manifest, a table beside them that Spark commits, lists
+those of the attempts that count, so that what a lost attempt left is never read. read_archives() reads the listed ones, or all of
+a folder without a manifest: it takes the dictionary from the first frame, walks from frame to frame by their block headers,
+decodes each alone, and validates version, named headers, lengths and digests.
 
 Cases: a null payload is empty; payloads shorter than the given least are all responses; rows of equal id and payload are
 all responses, as none is the smaller; rows with a null id are written with the id "null", and read back as null; a null
@@ -26,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywacke.llm.common import bounded, cut, small_batches
+from graywacke.llm.common import bounded, cut, small_batches, with_keys
 
 #: Compressed bytes after which a task begins another archive; an archive is read whole by one task.
 ARCHIVE_BYTES = 16 << 20
 #: Payloads for the dictionary, at most, and what is taken of each; the dictionary's size.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 300, 8192, 64 << 10
+#: The table of archives that count, and its columns; tasks that read archives, at most.
+MANIFEST, MANIFEST_KIND, MOST_TASKS = "manifest", "archive string, n_records long", 100_000
 SKIPPABLE_DICTIONARY = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -132,15 +135,15 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", least: int = 0) -> DataFrame:
-    """Archives of pages (page_id, url, html) in the folder; (archive, n_records) for each. Payloads of at least `least` bytes
+    """Archives of pages (page_id, url, html) in the folder, and their manifest: (archive, n_records) for each. Payloads of at least `least` bytes
     that equal another are written once."""
     small_batches(pages.sparkSession)
     dictionary = train_dictionary(pages)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     sums = pages.select("page_id", F.unhex(F.sha1(payload)).alias("sum"), F.octet_length(payload).alias("size")).filter(F.col("size") >= least)
     # Only ids and digests are shuffled; the decision comes back to the pages by their id.
-    several = sums.groupBy("sum").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).filter("low < refers_to").drop("low")
-    again = cut(sums.join(several, "sum").filter("page_id < refers_to").select(F.col("page_id").alias("again_id"), F.col("sum").alias("again_sum"), "refers_to").distinct())
+    several = cut(sums.groupBy("sum").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low"), F.count(F.lit(1)).alias("n_rows")).filter("low < refers_to").drop("low"))
+    again = cut(with_keys(sums, several, ["sum"], "n_rows").filter("page_id < refers_to").select(F.col("page_id").alias("again_id"), F.col("sum").alias("again_sum"), "refers_to").distinct())
     rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.join(bounded(again), (rows.page_id == again.again_id) & (F.unhex(F.sha1("payload")) == again.again_sum), "left")
     # Ids go to Python as text: a column of numbers and nulls would be one of doubles there.
@@ -155,12 +158,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         parts, size, n = [start], len(start), 0
 
         def close() -> None:
-            name = f"{root}/pages-{context.partitionId():06d}-{len(done):05d}.warc.zst"
-            draft = f"{root}/.{context.taskAttemptId()}-{len(done)}.tmp"
-            with store.open_output_stream(draft) as out:
+            name = f"pages-{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):05d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}") as out:
                 for part in parts:
                     out.write(part)
-            store.move(draft, name)
             done.append((name, n))
 
         for batch in batches:
@@ -177,18 +178,21 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root)
-    # Cut, so that the archives are written once and not with every look at the result.
-    return cut(rows.mapInPandas(write, "archive string, n_records long"))
+    rows.mapInPandas(write, MANIFEST_KIND).write.parquet(f"{folder}/{MANIFEST}")
+    return pages.sparkSession.read.schema(MANIFEST_KIND).parquet(f"{folder}/{MANIFEST}")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each record of the archives in the folder: page_id, url, record_type, refers_to, payload_bytes, payload_digest
+    """A row for each record of the folder's archives that its manifest lists (all, where there is none): page_id, url, record_type, refers_to, payload_bytes, payload_digest
     and payload (null for a revisit). A record that isn't valid stops the job with its archive's name and what is wrong."""
     kind = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, content in zip(batch.path, batch.content):
+            for path in batch.archive:
+                with store.open_input_stream(f"{root}/{path}") as source:
+                    content = source.read()
                 rows: list[dict] = []
                 try:
                     for data in records(content):
@@ -204,5 +208,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     def frame(rows: list[dict]) -> pd.DataFrame:
         return pd.DataFrame({k: pd.array([r[k] for r in rows], "Int64") if k in ("page_id", "refers_to") else [r[k] for r in rows] for k in rows[0]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("path", "content").mapInPandas(read, kind)
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.Directory:
+        names = spark.read.schema(MANIFEST_KIND).parquet(f"{folder}/{MANIFEST}").select("archive")
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+        names = files.select(F.substring_index("path", "/", -1).alias("archive"))
+    return names.repartition(max(1, min(MOST_TASKS, names.count()))).mapInPandas(read, kind)

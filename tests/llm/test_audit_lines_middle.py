@@ -4,12 +4,13 @@ import hashlib
 import itertools
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graywacke.llm import fill_in_middle, filter_audit, line_dedup
+from graywacke.llm import fill_in_middle, filter_audit, html_extract, language_id, line_dedup, warc
 
 LONG = "Word another\n" * 60_000
 ODD = [(1, None, None), (2, "", "s"), (3, " \n \x0b\n", "s"), (4, "One #", "s"), (4, "One #", "s"), (4, "other", "s"), (None, "null id", "s"), (None, "null id", "t"), (5, "É é ß 漢字 😀 a\x00b é", None), (6, LONG, "t"), (7, LONG, ""), (8, "", "t"), (9, "has <S> in it", "t")]
@@ -110,11 +111,10 @@ def test_shared_lines_go(spark, documents, least, most):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()), key=str) == brute_lines(rows, documents, least)
 
 
-def test_lines_of_hot_keys_stay_whole_beyond_the_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", 3)  # the line of all documents is hot, the others aren't
+def test_hot_lines_beyond_the_broadcast(spark):
     rows = [(i, f"Everywhere\nown {i}\nhalf {i % 20}\nEVERYWHERE ") for i in range(300)]
     df = spark.createDataFrame([(*r, "s", "x") for r in rows], SCHEMA)
-    found = line_dedup.deduplicated(df, most=0).collect()
+    found = line_dedup.deduplicated(df, most=0, share=3).collect()  # the line of all documents is hot, the others aren't
     assert {(r.n_lines, r.n_dropped) for r in found} == {(4, 3)} and {r.kept_text for r in found} == {f"own {i}" for i in range(300)}
 
 
@@ -159,3 +159,43 @@ def test_middles_move_and_come_back(spark):
     assert all(r.again == (r.text or "") for r in found) and len(found) == len(rows)
     assert all((r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == brute_middle(r.doc_id, r.text) for r in found)
     assert {r.form for r in found} == {"plain", "psm", "spm"}
+
+
+def test_archives_of_lost_attempts_are_not_read(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a/", f"page {i % 50}") for i in range(200)], "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/w"
+    warc.write_archives(pages, folder)
+    listed = sorted((tmp_path / "w").glob("*.warc.zst"))
+    # An attempt that died after its third archive; the attempt that counts, in another order, needed fewer.
+    shutil.copy(listed[0], tmp_path / "w" / "pages-000000-999-00002.warc.zst")
+    found = warc.read_archives(spark, folder)
+    assert sorted(r.page_id for r in found.collect()) == list(range(200))
+    assert found.filter("record_type = 'response'").count() == 50
+    # A folder of others, without a manifest, is read whole.
+    (tmp_path / "x").mkdir()
+    for path in listed:
+        shutil.copy(path, tmp_path / "x" / path.name)
+    assert warc.read_archives(spark, f"file://{tmp_path}/x").count() == 200
+
+
+@pytest.mark.parametrize("trial", range(4))
+def test_languages_with_equal_rows_are_learned(spark, trial):
+    rows = [(i, f"le chat dort dans la maison {trial}", "fr") for i in range(1000)] + [(i, f"the house of cat number {i} and {trial}", "en") for i in range(2000, 2050)] + [(i, f"{i}", "fr") for i in range(3000, 6000)]
+    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=5).names == ["en", "fr"]
+
+
+@pytest.mark.parametrize("markup", [True, False])
+def test_titles_and_leads_of_their_own_stay(spark, markup):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklm", k=5)) for _ in range(500)]
+    said = lambda n: " ".join(rng.choices(words, k=n))
+    pages, told = [], {}
+    for k in range(40):
+        title, lead, body = f"Title {said(3)}", f"Lead {said(12)}", [said(40) for _ in range(2 + k % 10)]
+        html = f"<div class=menu><a>Home</a> <a>News</a></div><div class=top><h1>{title}</h1></div><div class=lead><p>{lead[:9]}<b>{lead[9:]}</b></p></div><div class=text>" + "".join(f"<p>{t}</p>" for t in body) + "</div><div class=low><p>All rights reserved</p></div>"
+        pages.append((k, "http://one.org/", html))
+        told[k] = "\n\n".join([title, lead, *body])
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string"), markup=markup).collect()
+    assert {r.page_id: r.text for r in found} == told
+    none = html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert none.collect() == [] and none.columns[-2:] == ["text", "n_chars"]
