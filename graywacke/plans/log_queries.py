@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywacke.operators import logs
+from graywacke.operators import episodes, logs
 from graywacke.plans.registry import register
 
 
@@ -66,3 +66,13 @@ def agg19_count_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lg06_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select("l_orderkey", "p_brand")
     return logs.lift(rows, "l_orderkey", "p_brand").withColumn("lift", F.round("lift", 6))
+
+
+@register("lg11_modes", """with recursive e as (select event_type as key, epoch_us(ts) as us from events where ts is not null and event_type is not null), n as (select *, row_number() over (partition by key order by us) as i from e),
+    w as (select key, i, us, us as started from n where i = 1 union all select n.key, n.i, n.us, case when n.us >= w.started + 3600000000 then n.us else w.started end from w join n on n.key = w.key and n.i = w.i + 1),
+    f as (select key, started, count(*) as n_events from w group by 1, 2), d as (select *, ('0x' || substr(md5('5|' || key || '|' || started), 1, 8))::bigint / 4294967296.0 as draw from f), m as (select unnest(['observe', 'always', 'randomised']) as mode)
+    select mode, key, make_timestamp(started) as started, n_events, draw, case when mode = 'always' or mode = 'randomised' and draw < 0.5 then 'treated' else 'control' end as arm, mode = 'always' or mode = 'randomised' and draw < 0.5 as played from d, m""")
+def lg11_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    found = [episodes.episodes(events, "event_type", "ts", mode, 5, 3600).withColumn("mode", F.lit(mode)) for mode in episodes.MODES]
+    return found[0].union(found[1]).union(found[2]).withColumn("started", F.col("started").cast("timestamp_ntz"))

@@ -8,9 +8,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graywacke.sources import lines
+
 #: Bytes of XML of one part of an office file, unpacked, at most: beyond that it is refused, not cut.
 MOST_XML = 64 << 20
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -30,15 +32,24 @@ def table(spark: SparkSession, path: str, schema: str | None = None) -> DataFram
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files under path, with lines numbered from 1."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "line")).selectExpr("file", "at + 1 as line_no", "line")
+    """(file, line_no, line) of text files under path, with lines numbered from 1; an IncompleteReadError where a file can't be read whole."""
+    return lines.numbered(lines.complete(lines.records(spark, path))).select("file", "line_no", "line")
+
+
+#: A value in braces that may hold braces, three deep, or in quotes.
+VALUE = r"(?:\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}|\"([^\"]*)\"|(\w+))"
 
 
 def bibtex(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, key, title, year, journal, doi) of the entries of BibTeX files; null where a field is absent."""
-    entries = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?m)^\s*(?=@)")).alias("entry")).filter(r"entry rlike '^@\\w+\\s*[{]'")
-    field = lambda name: F.nullif(F.trim(F.regexp_extract("entry", rf'(?is)\b{name}\s*=\s*[{{"](.*?)[}}"]\s*(?:,|\}}|$)', 1)), F.lit(""))
+    """(kind, key, title, year, journal, doi) of the entries of BibTeX files; null where a field is absent. Files are split between entries, at a
+    line that begins with @."""
+    found = lines.complete(lines.records(spark, path, "\n@"))
+    entries = found.select(F.when(F.col("begins") > 0, F.concat(F.lit("@"), "value")).otherwise(F.col("value")).alias("entry")).filter(r"entry rlike '^@\\w+\\s*[{]'")
+
+    def field(name: str) -> Column:
+        of = rf"(?is)[,\s]{name}\s*=\s*{VALUE}"
+        return F.nullif(F.trim(F.concat(*(F.regexp_extract("entry", of, k) for k in (1, 2, 3)))), F.lit(""))
+
     head = r"^@(\w+)\s*\{\s*([^,\s]*)"
     return entries.select(F.lower(F.regexp_extract("entry", head, 1)).alias("kind"), F.regexp_extract("entry", head, 2).alias("key"), *(field(n).alias(n) for n in ("title", "year", "journal", "doi")))
 

@@ -65,7 +65,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n2,"a ""q"""\n')
     assert [r.note for r in readers.table(spark, f"{tmp_path}/a.csv").orderBy("id").collect()] == ["two\nlines", 'a "q"']
     (tmp_path / "t.md").write_text("one\r\ntwo\n")
-    assert [(r.line_no, r.line) for r in readers.text_lines(spark, f"{tmp_path}/t.md").collect()] == [(1, "one"), (2, "two"), (3, "")]
+    assert [(r.line_no, r.line) for r in readers.text_lines(spark, f"{tmp_path}/t.md").orderBy("line_no").collect()] == [(1, "one"), (2, "two")]
     (tmp_path / "r.bib").write_text('@article{k1,\n title = {A, b},\n year="2020"\n}\n@book{k2, doi={10.1/x}}\n')
     found = {r.key: r for r in readers.bibtex(spark, f"{tmp_path}/r.bib").collect()}
     assert (found["k1"].title, found["k1"].year, found["k1"].doi, found["k2"].kind, found["k2"].doi) == ("A, b", "2020", None, "book", "10.1/x")
