@@ -108,11 +108,19 @@ def changes(rows: DataFrame) -> DataFrame:
 
 
 def grimmer(claims: DataFrame, mean: str, sd: str, n: str, places: str) -> DataFrame:
-    """claims with possible_sd: whether n whole numbers with a mean as written can have the SD as written (Anaya, 2016): some sum of squares
-    within the SD's rounding is a whole number of the parity of the sum."""
-    half = F.pow(F.lit(10.0), -F.col(places)) / 2
-    total = F.round(F.col(mean) * F.col(n))
-    squares = lambda s: (F.col(n) - 1) * s * s + total * total / F.col(n)
-    low, high = F.ceil(squares(F.greatest(F.lit(0.0), F.col(sd) - half)) - 1e-9), F.floor(squares(F.col(sd) + half) + 1e-9)
-    first = low + F.pmod(low - total.cast("long"), F.lit(2))
-    return claims.withColumn("possible_sd", F.when((F.col(n) > 1) & may_round_to(total / F.col(n), F.col(mean), F.col(places)), first <= high))
+    """claims with possible_sd: whether n whole numbers with a mean as written can have the SD as written (Anaya, 2016): for some sum whose
+    mean may be written so, some sum of squares within the SD's rounding is a whole number of the parity of the sum.
+
+    There are several such sums where n is large against the places; all are tried.
+    """
+    unit = F.pow(F.lit(10.0), -F.col(places))
+    count = F.col(n).cast("double")
+    squares = lambda s, total: (count - 1) * s * s + total * total / count
+
+    def fits(whole):
+        total = whole.cast("double")
+        low, high = F.ceil(squares(F.greatest(F.lit(0.0), F.col(sd) - unit / 2), total) - 1e-9), F.floor(squares(F.col(sd) + unit / 2, total) + 1e-9)
+        return may_round_to(total / count, F.col(mean), F.col(places)) & (low + F.pmod(low - whole, F.lit(2)) <= high)
+
+    totals = F.sequence(F.ceil(count * (F.col(mean) - unit)), F.floor(count * (F.col(mean) + unit)) + 1)
+    return claims.withColumn("possible_sd", F.when(F.col(n) > 1, F.exists(totals, fits)))

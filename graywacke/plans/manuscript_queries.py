@@ -1,4 +1,7 @@
-"""Queries of manuscripts checked against themselves: texts that the tables at hand give."""
+"""Queries of manuscripts checked against themselves: the texts of documents, with some of their words written as what manuscripts have.
+
+Where a figure, citation, abbreviation or size stands is up to the text; the SQL makes the same texts and parses them.
+"""
 
 from __future__ import annotations
 
@@ -7,59 +10,109 @@ from pyspark.sql import functions as F
 
 from graywacke.operators import compare, documents, manuscripts
 from graywacke.plans.registry import register
+from graywacke.plans.revision_queries import VERSIONS, _versions
+
+#: Words, or beginnings of lines, and what they become, one after the other.
+WRITTEN = (
+    (" of ", " [1] "), (" in ", " [2] "), (" that ", " [3] "), (" with ", " [4] "), (" and ", " (Figure 1) "), (" the ", " Table 2 "), (" for ", " Fig. 3 "), (" is ", " big case (ABC) "), (" was ", " ABC "), (" it ", " EEG "),
+    (" this ", " brain waves (EEG) "), (" by ", " (p = 0.000) "), (" from ", " p < .05 "), (" are ", " p = .012, 95% CI "), (" be ", " N = 12 "), (" as ", " n = 14 "), (" or ", " N = 15 "), (" on ", " n = 12 "),
+    ("\nOn", "\nFigure 1. On"), ("\nTh", "\nTable 2: Th"), ("\nAn", "\nFigure 3. An"), ("\nEr", "\nTable 5. Er"), ("\nRe", "\n[1] Re"), ("\nIn", "\nMethods\nIn"),
+)
+
+
+def _written(text: str) -> str:
+    """SQL of a text as a manuscript, for both engines: letters beyond ASCII as x, as \\b means other things beside them."""
+    out = f"concat('Abstract', chr(10), regexp_replace({text}, '[^\\x00-\\x7F]', 'x'{{flags}}))"
+    for word, other in WRITTEN:
+        quoted = [" || ".join(f"'{part}'" if part else "''" for part in w.split("\n")).replace(" || ", " || chr(10) || ") for w in (word, other)]
+        out = f"replace({out}, {quoted[0]}, {quoted[1]})"
+    return out
+
+
+def _lines(docs: DataFrame, text: str) -> DataFrame:
+    # In Spark's SQL a backslash in quotes is doubled.
+    return documents.lines(docs.select("doc_id", F.expr(_written(text).format(flags="").replace("\\", "\\\\")).alias("text")), "doc_id", "text")
+
 
+def _manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null"), "text")
 
-def _parts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Lines of a text for each part, an SQL expression of p_partkey (k)."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
-    return documents.lines(parts.select(F.col("k").alias("doc_id"), F.expr(text).alias("text")), "doc_id", "text")
 
+def _split(name: str, of: str, text: str) -> str:
+    cells = f"string_split({_written(text).format(flags=chr(44) + chr(32) + chr(39) + 'g' + chr(39))}, chr(10))"
+    return f"{name} as (select doc_id, unnest({cells}) as line, generate_subscripts({cells}, 1) as line_no from {of})"
 
-@register("tx20_exhibits", """select p_partkey as doc_id, 'Figure' as kind, (p_partkey % 3 + 2)::int as number, 'not mentioned' as status from part where p_partkey % 3 + 2 <> 2 union all select p_partkey, 'Figure', 2, 'no caption' from part where p_partkey % 3 + 2 <> 2
-    union all select p_partkey, 'Figure', n::int, 'skipped' from part, unnest(range(2, 5)) as r(n) where n < p_partkey % 3 + 2 union all select p_partkey, 'Table', 9, 'no caption' from part where p_partkey % 4 = 0""")
+
+LINES = _split("l", "documents where text is not null", "text")
+CAPTION = r"'^\s*(Figure|Table)\s+(\d+)\s*[.:]'"
+
+
+@register("tx20_exhibits", rf"""with {LINES}, c as (select distinct doc_id, regexp_extract(line, {CAPTION}, 1) as kind, regexp_extract(line, {CAPTION}, 2)::int as number from l where regexp_matches(line, {CAPTION})),
+    raw as (select doc_id, unnest(regexp_extract_all(line, '\b(?:Figures?|Figs?\.|Tables?)\s*\d+')) as raw from l where not regexp_matches(line, {CAPTION})), m as (select distinct doc_id, case when raw[1] = 'F' then 'Figure' else 'Table' end as kind, regexp_extract(raw, '\d+')::int as number from raw),
+    w as (select doc_id, kind, unnest(range(1, max(number) + 1))::int as number from c group by 1, 2)
+    select *, 'not mentioned' as status from (select * from c except select * from m) union all select *, 'no caption' from (select * from m except select * from c) union all select *, 'skipped' from (select * from w except select * from c)""")
 def tx20_exhibits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = r"concat('As Figure 1 and Fig. 2 show', if(k % 4 = 0, ', see Table 9', ''), '.\nFigure 1. All\nFigure ', k % 3 + 2, ': Some')"
-    return manuscripts.exhibits(_parts(spark, sf_dir, text))
+    return manuscripts.exhibits(_manuscripts(spark, sf_dir))
 
 
-@register("tx31_citation_order", "select p_partkey as doc_id, 2 as number, (3 + p_partkey % 2)::int as after from part union all select p_partkey, 3, 4 from part where p_partkey % 2 = 1 and p_partkey % 3 = 0")
+@register("tx31_citation_order", rf"""with {LINES}, a as (select doc_id, line_no, regexp_extract_all(line, '\[(\d+)\]', 1) as found from l), c as (select doc_id, line_no, unnest(found)::int as number, generate_subscripts(found, 1) as nth from a),
+    f as (select doc_id, number, min(line_no * 1000000 + nth) as place from c group by 1, 2), h as (select *, max(number) over (partition by doc_id order by place rows between unbounded preceding and 1 preceding) as after from f) select doc_id, number, after from h where number < after""")
 def tx31_citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscripts.citation_order(_parts(spark, sf_dir, r"concat('One [1] and [', 3 + k % 2, '].\nTwo [2] [1]', if(k % 3 = 0, ' [3].', '.'))"))
+    return manuscripts.citation_order(_manuscripts(spark, sf_dir))
 
 
-@register("tx23_abbreviations", "select p_partkey as doc_id, 'ABC' as short, case p_partkey % 3 when 0 then 'undefined' when 1 then 'used before' end as status from part where p_partkey % 3 < 2 union all select p_partkey, 'EEG', 'defined twice' from part where p_partkey % 5 = 0")
+@register("tx23_abbreviations", rf"""with {LINES}, a as (select doc_id, line_no, regexp_extract_all(line, '\(?\b[A-Z]{{2,6}}\b\)?') as found from l), c as (select doc_id, unnest(found) as raw, line_no * 1000000 + generate_subscripts(found, 1) as place from a),
+    e as (select doc_id, regexp_replace(raw, '[()]', '', 'g') as short, min(place) as used, min(place) filter (raw like '(%)') as defined, count(*) filter (raw like '(%)') as times from c group by 1, 2 having short not in ('USA', 'UK', 'DNA', 'CI', 'SD')),
+    s as (select doc_id, short, case when times = 0 then 'undefined' when used < defined then 'used before' when times > 1 then 'defined twice' end as status from e) select * from s where status is not null""")
 def tx23_abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = r"concat('We used ', if(k % 3 = 2, 'a big case (ABC)', 'ABC'), if(k % 3 = 1, ', a big case (ABC)', ''), ' in the USA.\nBrain waves (EEG)', if(k % 5 = 0, ' or brain waves (EEG)', ''), ' and EEG.')"
-    return manuscripts.abbreviations(_parts(spark, sf_dir, text))
+    return manuscripts.abbreviations(_manuscripts(spark, sf_dir))
 
 
-@register("tx22_reporting", """select p_partkey as doc_id, 1 as line_no, unnest(case p_partkey % 3 when 0 then ['p of zero', 'no effect size'] when 1 then ['threshold only', 'no effect size'] else [] end) as issue from part""")
+@register("tx22_reporting", rf"""with {LINES}, i as (select doc_id, line_no, unnest([case when regexp_matches(line, '\bp\s*=\s*0?\.0+([^0-9]|$)') then 'p of zero' end, case when regexp_matches(line, '\bp\s*[<>]\s*0?\.0?5\b') then 'threshold only' end,
+    case when regexp_matches(line, '\bp\s*[=<>]') and not regexp_matches(line, '(?i)\bCI\b|cohen|hedges|\bd\s*=|\bg\s*=|\br\s*=|odds ratio|\bOR\b') then 'no effect size' end]) as issue from l) select doc_id, line_no::int as line_no, issue from i where issue is not null""")
 def tx22_reporting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscripts.reporting(_parts(spark, sf_dir, "case k % 3 when 0 then 'It differed (p = 0.000).' when 1 then 'It differed (p < .05).' else 'It differed (d = 0.4, 95% CI 0.1 to 0.7, p = .012).' end"))
+    return manuscripts.reporting(_manuscripts(spark, sf_dir))
+
 
+SECTIONS = r"""h as (select *, regexp_extract(line, '(?i)^\s*#*\s*(Abstract|Introduction|Methods|Results|Discussion|References)\s*:?\s*$', 1) as head from l),
+    s as (select *, last_value(nullif(upper(head[1]) || lower(head[2:]), '') ignore nulls) over (partition by doc_id order by line_no) as section from h)"""
 
-@register("tx21_sample_sizes", "select p_partkey as doc_id, (p_partkey % 50)::int as n from part where p_partkey % 4 <> 0")
+
+@register("tx21_sample_sizes", rf"""with {LINES}, {SECTIONS}, n as (select distinct doc_id, section, unnest(regexp_extract_all(line, '\b[Nn]\s*=\s*(\d+)', 1))::int as n from s)
+    select doc_id, n from n where section = 'Abstract' except select doc_id, n from n where section is distinct from 'Abstract'""")
 def tx21_sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscripts.sample_sizes(_parts(spark, sf_dir, r"concat('Abstract\nWe saw people (N = ', k % 50, ').\nMethods\nAll came, n = ', if(k % 4 = 0, k % 50, 1000 + k % 50), '.')"))
+    return manuscripts.sample_sizes(_manuscripts(spark, sf_dir))
 
 
-@register("tx24_lengths", "select p_partkey as doc_id, 'Abstract' as section, (p_partkey % 7 + 1)::bigint as words, 5 as most, p_partkey % 7 + 1 > 5 as over from part")
+@register("tx24_lengths", rf"""with {LINES}, {SECTIONS}, w as (select doc_id, section, sum(len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')))::bigint as words from s where head = '' and section in ('Abstract', 'Methods') group by 1, 2)
+    select doc_id, section, words, case section when 'Abstract' then 250 else 100 end as most, words > case section when 'Abstract' then 250 else 100 end as over from w""")
 def tx24_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manuscripts.lengths(_parts(spark, sf_dir, r"concat('# Abstract\n', repeat('word ', cast(k % 7 + 1 as int)), '\nMethods\nmore words')"), {"Abstract": 5})
+    return manuscripts.lengths(_manuscripts(spark, sf_dir), {"Abstract": 250, "Methods": 100})
 
 
-@register("tx19_counts", "select p_partkey as doc_id, 'table' as kind, 1::bigint as n_before, (1 + p_partkey % 3)::bigint as n_after from part where p_partkey % 3 <> 0")
+@register("tx19_counts", rf"""with {VERSIONS}, {_split("a", "both_versions", "old")}, {_split("b", "both_versions", "new")}, l as (select 'old' as v, * from a union all select 'new', * from b),
+    k as (select *, case when regexp_matches(line, '^\s*Figure\s+\d+\s*[.:]') then 'figure' when regexp_matches(line, '^\s*Table\s+\d+\s*[.:]') then 'table' when regexp_matches(line, '^\s*\[?\d+[\].]\s+[A-Z]') then 'reference' end as kind from l)
+    select doc_id, kind, count(*) filter (v = 'old') as n_before, count(*) filter (v = 'new') as n_after from k where kind is not null group by 1, 2 having n_before <> n_after""")
 def tx19_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = _parts(spark, sf_dir, r"'Table 1. One\nFigure 1. Same\n[1] Smith A.'")
-    return manuscripts.changes_in_counts(before, _parts(spark, sf_dir, r"concat('Table 1. One\n', if(k % 3 > 0, 'Table 2. Two\n', ''), if(k % 3 > 1, 'Table 3. Three\n', ''), 'Figure 1. Same\n[1] Smith A.')"))
+    both = _versions(spark, sf_dir)
+    return manuscripts.changes_in_counts(_lines(both, "old"), _lines(both, "new"))
+
+
+CITED = r"""d as (select doc_id, source, string_split(text, chr(10))[1] as head, coalesce(string_split(text, chr(10))[2], '') as title from documents where text is not null and source is not null),
+    cited as (select doc_id as key, case when head = '' then '' else case when doc_id % 2 = 0 then 'https://doi.org/10.1/' else '10.1/' end || upper(md5(head)) end as doi, title from d),
+    toxic as (select distinct doc_id from labels where toxic = 1), registry as (select '10.1/' || md5(head) as doi, min(doc_id) as first_id, arg_min(title, doc_id) as title from d where head <> '' and source <> 'src1' group by 1)"""
 
 
-@register("join17_metadata", """select p_partkey as key, case p_partkey % 5 when 0 then '' when 1 then 'https://doi.org/10.1/X' || p_partkey else '10.1/x' || p_partkey end as doi, case p_partkey % 5 when 3 then 'Other' else p_name end as title,
-    case when p_partkey % 5 = 0 then 'no doi' when p_partkey % 7 = 0 then 'not found' when p_partkey % 11 = 0 then 'retracted' when p_partkey % 5 = 3 then 'title differs' else 'ok' end as status from part""")
+@register("join17_metadata", rf"""with {CITED}, r as (select registry.*, toxic.doc_id is not null as retracted from registry left join toxic on toxic.doc_id = first_id), p as (select *, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) as plain from cited)
+    select key, p.doi, p.title, case when p.doi = '' then 'no doi' when r.doi is null then 'not found' when retracted then 'retracted' when plain <> trim(regexp_replace(lower(r.title), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) then 'title differs' else 'ok' end as status
+    from p left join r on lower(replace(p.doi, 'https://doi.org/', '')) = r.doi""")
 def join17_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    cited = part.selectExpr("p_partkey as key", "case p_partkey % 5 when 0 then '' when 1 then concat('https://doi.org/10.1/X', p_partkey) else concat('10.1/x', p_partkey) end as doi", "case p_partkey % 5 when 3 then 'Other' else p_name end as title")
-    return manuscripts.matched_metadata(cited, part.filter("p_partkey % 7 <> 0").selectExpr("concat('10.1/x', p_partkey) as doi", "upper(p_name) as title", "p_partkey % 11 = 0 as retracted"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null and source is not null")
+    d = docs.select("doc_id", "source", F.substring_index("text", "\n", 1).alias("head"), F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit("")).alias("title"))
+    cited = d.selectExpr("doc_id as key", "case when head = '' then '' else concat(if(doc_id % 2 = 0, 'https://doi.org/10.1/', '10.1/'), upper(md5(head))) end as doi", "title")
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").select(F.col("doc_id").alias("first_id")).distinct().withColumn("retracted", F.lit(True))
+    first = d.filter("head <> '' and source <> 'src1'").groupBy(F.expr("concat('10.1/', md5(head)) as doi")).agg(F.min("doc_id").alias("first_id"), F.min_by("title", "doc_id").alias("title"))
+    return manuscripts.matched_metadata(cited, first.join(toxic, "first_id", "left").select("doi", "title", F.coalesce("retracted", F.lit(False)).alias("retracted")))
 
 
 @register("snk05_sentences", """with m as (select c_mktsegment as g, count(*) as n, avg(c_acctbal) as m, stddev_samp(c_acctbal) as s from customer where c_mktsegment is not null and c_acctbal is not null group by 1)

@@ -91,8 +91,10 @@ def tx02_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("tx04_grimmer", """with c as (select p_size as k, count(*) as n, round(avg(p_partkey % 10), 2) as mean, round(stddev_samp(p_partkey % 10), 2) + case when p_size % 2 = 0 then 0.01 * (p_size % 7) else 0 end as sd from part group by 1),
-    t as (select *, round(mean * n) as total from c), b as (select *, ceil((n - 1) * (sd - 0.005) ** 2 + total * total / n - 1e-9)::bigint as low, floor((n - 1) * (sd + 0.005) ** 2 + total * total / n + 1e-9)::bigint as high from t)
-    select k, n, mean, round(sd, 2) as sd, low + (((low - total::bigint) % 2) + 2) % 2 <= high as possible_sd from b""")
+    s as (select *, unnest(range(floor(n * (mean - 0.02))::bigint, ceil(n * (mean + 0.02))::bigint + 1)) as total from c), w as (select * from s where round(mean * 100) between floor(100.0 * total / n + 1e-9) and ceil(100.0 * total / n - 1e-9)),
+    q as (select *, unnest(range(floor((n - 1) * greatest(0, sd - 0.006) ** 2 + total * total / n)::bigint - 1, ceil((n - 1) * (sd + 0.006) ** 2 + total * total / n)::bigint + 2)) as squares from w),
+    h as (select distinct k from q where (squares - total) % 2 = 0 and squares * n >= total * total and sqrt(greatest(0, squares - total * total / n) / (n - 1)) between sd - 0.005 - 1e-9 and sd + 0.005 + 1e-9)
+    select c.k, n, mean, round(sd, 2) as sd, h.k is not null as possible_sd from c left join h using (k)""")
 def tx04_grimmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.expr("p_partkey % 10")
     claims = _table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 2).alias("mean"), F.round(F.stddev_samp(x), 2).alias("sd"))

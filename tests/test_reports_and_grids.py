@@ -47,6 +47,8 @@ def test_grim_and_grimmer(spark):
         m = sum(x) / 5
         rows.append((round(m, 2), round(math.sqrt(sum((v - m) ** 2 for v in x) / 4), 2), 5, 2))
     assert all(r.possible_sd for r in reported.grimmer(spark.createDataFrame(rows, claims.schema), "mean", "sd", "n", "places").collect())
+    # 149 zeros and one 1: three sums have means that are written 0.01, and not the nearest one fits.
+    assert reported.grimmer(spark.createDataFrame([(0.01, 0.08, 150, 2)], claims.schema), "mean", "sd", "n", "places").first().possible_sd
     assert not reported.grimmer(spark.createDataFrame([(3.4, 2.55, 5, 2)], claims.schema), "mean", "sd", "n", "places").first().possible_sd
 
 
