@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graywacke.operators import audits, categorical, designs, documents, logs, robust, trace
+from graywacke.operators import audits, categorical, designs, documents, grids, logs, robust, trace
 from graywacke.plans import integrals
 from graywacke.plans.audit_queries import PLAN, _visits
 from graywacke.plans.registry import register
@@ -38,12 +38,13 @@ def _grid_sql() -> str:
 
 @register("st20_grid", f"{_grid_sql()} select * from judged")
 def st20_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.judged(robust.two_group_grid(_table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")).withColumn("p", F.round("p", 7))
+    grid = grids.two_groups(_table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")
+    return robust.judged(grid.select("spec", "outliers", "test", "log", "n", "p")).withColumn("p", F.round("p", 7))
 
 
 @register("st29_verdict", f"{_grid_sql()} select count(p) as specs, count(*) filter (flipped) as flips, case when min(n) < 6 or count(p) < 5 then 'undecidable' when count(*) filter (flipped) > 0 then 'fragile' else 'robust' end as verdict from judged")
 def st29_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.verdict(robust.judged(robust.two_group_grid(_table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")))
+    return robust.verdict(robust.judged(grids.two_groups(_table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY")))
 
 
 @register("st21_left_out", f"""with r as ({TWO}), i as (select *, row_number() over () as i from r), o as (select a.i, b.g, b.v from i a join i b on a.i <> b.i), m as (select i, avg(v) filter (g = 'BUILDING') - avg(v) filter (g <> 'BUILDING') as d,
@@ -113,3 +114,63 @@ def lg07_few_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = logs.lift(baskets, "l_orderkey", "p_brand")
     n = baskets.agg(F.count_distinct("l_orderkey").alias("n_all"))
     return pairs.crossJoin(F.broadcast(n)).select("a", "b", "n_ab", "n_a", "n_b", F.round(categorical.p_few_together("n_ab", "n_a", "n_b", "n_all"), 6).alias("p"))
+
+
+#: Rules for outliers over the values v of the groups that {keys} name, and what is judged by {group}.
+KEPT = """lim as (select {keys}, avg(v) as m, stddev_samp(v) as s, quantile_cont(v, 0.25) as a, quantile_cont(v, 0.75) as b from {rows} group by {keys}),
+    kept as (select r.*, unnest(list_filter(['none', case when abs(v - m) <= 3 * s then '3 sd' end, case when v between 2.5 * a - 1.5 * b and 2.5 * b - 1.5 * a then '1.5 iqr' end], lambda x: x is not null)) as outliers from {rows} r join lim using ({keys}))"""
+NUMBERED = "case outliers when 'none' then 0 when '3 sd' then 1 else 2 end"
+EFFECTS = """f as (select *, case when {ranked} then (abs(effect) >= 0.1)::int + (abs(effect) >= 0.3)::int + (abs(effect) >= 0.5)::int else (abs(effect) >= 0.2)::int + (abs(effect) >= 0.5)::int + (abs(effect) >= 0.8)::int end as grade,
+      case when {ranked} then least(abs(abs(effect) - 0.1), abs(abs(effect) - 0.3), abs(abs(effect) - 0.5)) else least(abs(abs(effect) - 0.2), abs(abs(effect) - 0.5), abs(abs(effect) - 0.8)) end < 0.01 as grazed from g),
+    m0 as (select p as p0, effect as e0, grade as g0, grazed as z0, log as l0 from f where spec = 1)
+    select spec::int as spec, {names}, log, outliers, test, n, round(effect, 6) as effect, round(abs(p), 7) as p, (p < 0.05) <> (p0 < 0.05) and abs(p - 0.05) >= 0.001 and abs(p0 - 0.05) >= 0.001 as flip_p,
+      (p < 0.05 or p0 < 0.05) and effect * e0 < 0 and abs(effect) >= 0.01 and abs(e0) >= 0.01 as flip_sign, (p < 0.05 or p0 < 0.05) and log = l0 and grade <> g0 and not grazed and not z0 as flip_grade, false as unreachable from f, m0"""
+
+
+def _finished(grid: DataFrame) -> DataFrame:
+    return grids.judged(grid).drop("least_p").withColumns({"spec": F.col("spec").cast("int"), "effect": F.round("effect", 6), "p": F.round(F.abs("p"), 7)})
+
+
+@register("st20_pairs", f"""with r as (select case when vec_id % 11 <> 0 then embedding[1]::double + 2 end as x, case when vec_id % 7 <> 0 then embedding[2]::double + 2.05 end as y from embeddings),
+    l as (select false as log, x, y from r union all select true, case when x > 0 then ln(x) end, case when y > 0 then ln(y) end from r), mean as (select log, avg(x) as mx, avg(y) as my from l group by 1),
+    d as (select log, unnest([{{'missing': 'complete', 'v': y - x}}, {{'missing': 'locf', 'v': coalesce(y, x) - x}}, {{'missing': 'mean', 'v': coalesce(y, my) - coalesce(x, mx)}}], recursive := true) from l join mean using (log)), dd as (select * from d where v is not null),
+    {KEPT.format(keys='log, missing', rows='dd')}, t as (select log, missing, outliers, count(*) as n, avg(v) / stddev_samp(v) as effect, avg(v) / (stddev_samp(v) / sqrt(count(*))) as t, count(*) - 1.0 as df from kept group by all),
+    k as (select *, rank() over (partition by log, missing, outliers order by abs(v)) + (count(*) over (partition by log, missing, outliers, abs(v)) - 1) / 2.0 as k, count(*) over (partition by log, missing, outliers, abs(v)) as c from kept where v <> 0),
+    w as (select log, missing, outliers, sum(k) filter (v > 0) as w, count(*)::double as k, sum(c::double * c - 1) as ties from k group by all), z as (select *, abs(w - k * (k + 1) / 4) / sqrt(k * (k + 1) * (2 * k + 1) / 24 - ties / 48) as z from w),
+    g as (select 1 + case missing when 'complete' then 0 when 'locf' then 12 else 24 end + log::int * 6 + {NUMBERED} * 2 as spec, missing, log, outliers, 't' as test, n, effect, {integrals.p_t('t', 'df')} as p from t
+      union all select 2 + case missing when 'complete' then 0 when 'locf' then 12 else 24 end + log::int * 6 + {NUMBERED} * 2, missing, log, outliers, 'wilcoxon', t.n, 4 * w / (k * (k + 1)) - 1, {integrals.p_z('z')} from z join t using (log, missing, outliers)),
+    {EFFECTS.format(ranked="test = 'wilcoxon'", names='missing')}""")
+def st20_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").selectExpr("case when vec_id % 11 <> 0 then cast(embedding[0] as double) + 2D end as x", "case when vec_id % 7 <> 0 then cast(embedding[1] as double) + 2.05D end as y")
+    return _finished(grids.pairs(rows, "x", "y"))
+
+
+BOTH_KEPT = """lim as (select log, avg(x) as mx, stddev_samp(x) as sx, quantile_cont(x, 0.25) as ax, quantile_cont(x, 0.75) as bx, avg(y) as my, stddev_samp(y) as sy, quantile_cont(y, 0.25) as ay, quantile_cont(y, 0.75) as "by" from l group by log),
+    kept as (select log, x, y, unnest(list_filter(['none', case when abs(x - mx) <= 3 * sx and abs(y - my) <= 3 * sy then '3 sd' end, case when x between 2.5 * ax - 1.5 * bx and 2.5 * bx - 1.5 * ax and y between 2.5 * ay - 1.5 * "by" and 2.5 * "by" - 1.5 * ay then '1.5 iqr' end], lambda v: v is not null)) as outliers from l join lim using (log))"""
+
+
+@register("st20_columns", f"""with r as (select embedding[1]::double + 2 as x, embedding[2]::double + embedding[1]::double * 0.15 + 2 as y from embeddings), l as (select false as log, x, y from r where x is not null and y is not null union all select true, ln(x), ln(y) from r where x > 0 and y > 0), {BOTH_KEPT},
+    k as (select *, rank() over (partition by log, outliers order by x) + (count(*) over (partition by log, outliers, x) - 1) / 2.0 as rx, rank() over (partition by log, outliers order by y) + (count(*) over (partition by log, outliers, y) - 1) / 2.0 as ry from kept),
+    c as (select log, outliers, count(*) as n, unnest([{{'test': 'pearson', 'effect': corr(x, y)}}, {{'test': 'spearman', 'effect': corr(rx, ry)}}], recursive := true) from k group by log, outliers), t as (select *, effect * sqrt((n - 2) / (1 - effect * effect)) as t, n - 2.0 as df from c),
+    g as (select 1 + log::int * 6 + {NUMBERED} * 2 + (test = 'spearman')::int as spec, log, outliers, test, n, effect, {integrals.p_t('t', 'df')} as p from t), {EFFECTS.format(ranked="true", names="'' as no_name")}""".replace("'' as no_name, ", ""))
+def st20_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").selectExpr("cast(embedding[0] as double) + 2D as x", "cast(embedding[1] as double) + cast(embedding[0] as double) * 0.15D + 2D as y")
+    return _finished(grids.columns(rows, "x", "y"))
+
+
+@register("st05_exact", """with x as (select s_nationkey % 9 as g, s_suppkey % 2 = 0 as a, floor(s_acctbal / 500) as v from supplier where s_acctbal is not null), k as (select *, rank() over (partition by g order by v) + (count(*) over (partition by g, v) - 1) / 2.0 as k, row_number() over (partition by g order by v, a) - 1 as i from x),
+    s as (select g, count(*) as n, count(*) filter (a) as n_a, sum(k) filter (a) as r, list(k order by i) as ks from k group by g), m as (select g, n_a, n, r, ks, unnest(range(0, (1 << n)::bigint)) as mask from s where n <= 20),
+    w as (select g, r, n_a, n, list_sum(list_transform(range(n), lambda i: case when (mask >> i) & 1 = 1 then ks[i + 1] else 0 end)) as sum from m where bit_count(mask::bigint) = n_a), p as (select g, count(*) filter (abs(sum - n_a * (n + 1) / 2.0) >= abs(r - n_a * (n + 1) / 2.0) - 1e-9) / count(*) as p from w group by g)
+    select s.g, n_a, n - n_a as n_b, r - n_a * (n_a + 1) / 2 as u, round(least(1, 2 * exp(lgamma(n_a + 1) + lgamma(n - n_a + 1) - lgamma(n + 1))), 9) as least_p, round(p, 9) as p from s left join p using (g)""")
+def st05_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "supplier").selectExpr("s_nationkey % 9 as g", "if(s_suppkey % 2 = 0, 'a', 'b') as side", "floor(s_acctbal / 500) as v")
+    found = grids.exact_by_stratum(rows, "v", "side", "a", "b", ["g"])
+    return found.withColumns({c: F.round(c, 9) for c in ("least_p", "p")})
+
+
+@register("st21_left_out_ranks", f"""with r as ({TWO}), i as (select *, row_number() over () as i from r), o as (select a.i, b.g, b.v from i a join i b on a.i <> b.i), k as (select i, g, count(*) over (partition by i, v) as c, rank() over (partition by i order by v) + (count(*) over (partition by i, v) - 1) / 2.0 as k from o),
+    s as (select i, sum(k) filter (g = 'BUILDING') as r, count(*) filter (g = 'BUILDING')::double as na, count(*) filter (g <> 'BUILDING')::double as nb, count(*)::double as n, sum(c::double * c - 1) as ties from k group by i),
+    z as (select i, greatest(0, abs(r - na * (na + 1) / 2 - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (n + 1 - ties / (n * (n - 1)))) as z from s), p as (select i, {integrals.p_z('z')} as p from z)
+    select v, g = 'BUILDING' as a, count(*) as times, round(min(p), 7) as p from p join i using (i) group by v, g""")
+def st21_left_out_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.left_out_ranks(_table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment", "BUILDING", "MACHINERY").withColumn("p", F.round("p", 7))
