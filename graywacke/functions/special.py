@@ -108,19 +108,19 @@ def noncentral_t_upper(t: float, df: float, shift: float) -> float:
 @F.pandas_udf(DoubleType())
 def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic."""
-    return pd.Series(t_two_sided(t, df))
+    return pd.Series(t_two_sided(t.astype(float), df.astype(float)))
 
 
 @F.pandas_udf(DoubleType())
 def p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(f_upper(f, d1, d2))
+    return pd.Series(f_upper(*(v.astype(float) for v in (f, d1, d2))))
 
 
 @F.pandas_udf(DoubleType())
 def p_chi2(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series(chi2_upper(x, k))
+    return pd.Series(chi2_upper(x.astype(float), k.astype(float)))
 
 
 @F.pandas_udf(DoubleType())
 def p_z(z: pd.Series) -> pd.Series:
-    return pd.Series(normal_two_sided(z))
+    return pd.Series(normal_two_sided(z.astype(float)))

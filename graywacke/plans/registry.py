@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from graywacke.plans import audit_queries, heartbeat_queries, log_queries, manuscript_queries, model_queries, pooling_queries, regression_queries, report_queries, revision_queries, robust_queries, shape_queries, signal_queries, statistics_queries  # noqa: F401
+    from graywacke.plans import audit_queries, heartbeat_queries, log_queries, manuscript_queries, model_queries, pooling_queries, regression_queries, report_queries, revision_queries, robust_queries, shape_queries, signal_queries, statistics_queries, choice_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
