@@ -105,20 +105,26 @@ def noncentral_t_upper(t: float, df: float, shift: float) -> float:
     return 1 - below
 
 
+def _positive(degrees: pd.Series) -> pd.Series:
+    """Degrees of freedom; none, where there are none left."""
+    degrees = degrees.astype(float)
+    return degrees.where(degrees > 0)
+
+
 @F.pandas_udf(DoubleType())
 def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of a t statistic."""
-    return pd.Series(t_two_sided(t.astype(float), df.astype(float)))
+    return pd.Series(t_two_sided(t.astype(float), _positive(df)))
 
 
 @F.pandas_udf(DoubleType())
 def p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series(f_upper(*(v.astype(float) for v in (f, d1, d2))))
+    return pd.Series(f_upper(f.astype(float), _positive(d1), _positive(d2)))
 
 
 @F.pandas_udf(DoubleType())
 def p_chi2(x: pd.Series, k: pd.Series) -> pd.Series:
-    return pd.Series(chi2_upper(x.astype(float), k.astype(float)))
+    return pd.Series(chi2_upper(x.astype(float), _positive(k)))
 
 
 @F.pandas_udf(DoubleType())
