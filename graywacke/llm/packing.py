@@ -60,10 +60,10 @@ def unsettled() -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-class WordIds(dict):
+class WordIds:
     """Token ids of texts, word by word: tokens never cross white space, so the ids of a text are those of its words in turn.
 
-    Maps each lower-case word met so far to its number; new ones go to the tokenizer's model by the pieces of its own
+    known maps each lower-case word met so far to its number (a plain dict: a subclass with __missing__ takes three times as long to ask); new ones go to the tokenizer's model by the pieces of its own
     split. Texts that the tokenizer may normalise otherwise than Python does, and those with its special tokens, go to it whole;
     so do all texts where the tokenizer's file has another normaliser, splitter or model than WORDWISE says.
     """
@@ -90,18 +90,22 @@ class WordIds(dict):
         self.odd = {*self.ODD, *(t["content"][:2] for t in said["added_tokens"])}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.known: dict[str, int] = {}
         self.ids, self.at = array("I"), array("q", [0])
 
-    def __missing__(self, word: str) -> int:
+    def number(self, word: str) -> int:
+        """The number of a word, known or new."""
+        if (known := self.known.get(word)) is not None:
+            return known
         ends = word[-1] in ".," and word[:-1].isalpha()
         if ends:
-            stem, mark = self[word[:-1]], self[word[-1]]
+            stem, mark = self.number(word[:-1]), self.number(word[-1])
             self.ids.extend(self.ids[self.at[stem] : self.at[stem + 1]] + self.ids[self.at[mark] : self.at[mark + 1]])
         for piece in () if ends else (word,) if word.isalpha() else self.SPLIT.findall(word):
             shown = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
             self.ids.extend([t.id for t in self.model.tokenize(shown)])
         self.at.append(len(self.ids))
-        self[word] = n = len(self.at) - 2
+        self.known[word] = n = len(self.at) - 2
         return n
 
     def plain(self, text: str) -> bool:
@@ -111,8 +115,8 @@ class WordIds(dict):
         return text.isascii() or unicodedata.is_normalized("NFC", text) and not unsettled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self) > KEPT_WORDS:
-            self.clear()
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
             self.ids, self.at = array("I"), array("q", [0])
         each = []
         for text in texts:
@@ -121,7 +125,10 @@ class WordIds(dict):
                 each.append(None)
             else:
                 words = text.lower().split()
-                each.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+                numbers = list(map(self.known.get, words))
+                for k in [k for k, n in enumerate(numbers) if n is None]:
+                    numbers[k] = self.number(words[k])
+                each.append(np.array(numbers, np.int64))
         at, ids = np.frombuffer(self.at, np.int64), np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
         out = []
         for words, text in zip(each, texts):
