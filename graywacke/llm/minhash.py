@@ -10,9 +10,11 @@ Pairs are never listed within a key; what is wanted are components, so:
 
 1. in each of PIVOT_TURNS turns each class is compared with one pivot of its keys, and components are formed; a key whose
    classes are all in one component has nothing more to say. Keys are summed up by aggregation, never gathered;
-2. the classes of keys that still hold several components go through an exact join: prefixes of their rarest shingles,
-   pairs of different components only, and of these only such as their places in the order of rarity and a sketch of
-   64 * LONGS bits allow: first the likeliest pairs, then all. With deviations=None sketches pass all pairs.
+2. the classes of keys that still hold several components are compared with hubs of their rarest shingles, until a turn
+   links nothing: parts of one group are joined from no more rows than there are;
+3. what is left goes through an exact join: prefixes of the rarest shingles, pairs of different components only, and of
+   these only such as their places in the order of rarity and a sketch of 64 * LONGS bits allow: first the likeliest
+   pairs, then all. With deviations=None sketches pass all pairs.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text of fewer words than WORDS has its whole
 sequence as one shingle; repeated rows are one class, each row is returned; rows with a null id take part, and get the
@@ -37,11 +39,15 @@ WORDS, SIMILAR = 5, 75
 SIDE, ROWS = 10, 2
 #: Turns in which each class is compared with one pivot before the exact join of what is left.
 PIVOT_TURNS = 2
+#: Turns at most in which what is left is compared with hubs of its rarest shingles; the first one that links nothing is the last.
+HUB_TURNS = 2
 
 #: Longs of bits in a sketch, and how many standard deviations beyond the mean the sketches of a pair may differ: at 4.2 one
 #: pair in 70,000 of just the similarity asked is passed over, of more similar ones fewer.
 LONGS, DEVIATIONS = 8, 4.2
 SKETCH = [f"sketch_{k}" for k in range(LONGS)]
+#: SQL of the number of bits in which the sketches of two rows differ.
+BITS = " + ".join(f"bit_count({c} ^ {c}_2)" for c in SKETCH)
 
 FACTORS, SKETCH_FACTORS = (np.random.Generator(np.random.PCG64(k)).integers(1, 1 << 63, n, dtype=np.uint64) * U(2) + U(1) for k, n in ((8, 2 * SIDE * ROWS), (88, 64 * LONGS)))
 
@@ -236,21 +242,36 @@ def sketch_of(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((mix(least) & U(1)).astype(np.uint8)).view(np.int64)
 
 
-def across(rows: DataFrame, similar: int, deviations: float | None) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a prefix key and may be as similar as asked.
+def allowed(similar: int, deviations: float | None) -> str:
+    """Of two rows of prefixes (the columns of the second end in _2): whether they are of different components and may be as similar as asked.
 
     Of similar sets the first common shingle leaves enough of both behind it for what they must have in common; and their
-    sketches differ in no more bits than that many standard deviations beyond the mean. A key that many classes have is one
-    that Spark's skew join splits: the condition is part of the join.
+    sketches differ in no more bits than that many standard deviations beyond the mean.
     """
     differ = (1 - similar / 100) / 2
-    other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n_shingles", "component", "place", *SKETCH)))
     enough = f"1 + least(n_shingles - place, n_shingles_2 - place_2) >= ceil({similar} * (n_shingles + n_shingles_2) / {100 + similar})"
     close = "true"
     if deviations is not None:
         most = int(np.ceil(64 * LONGS * (differ + deviations * np.sqrt(differ * (1 - differ) / (64 * LONGS)))))
-        close = f"{' + '.join(f'bit_count({c} ^ {c}_2)' for c in SKETCH)} <= {most}"
-    met = rows.join(other, "key").filter(f"component <> component_2 and node < node_2 and {enough} and {close}")
+        close = f"{BITS} <= {most}"
+    return f"component <> component_2 and {enough} and {close}"
+
+
+def hubs(rows: DataFrame, similar: int, deviations: float | None, turn: int) -> DataFrame:
+    """A pair (a, b) for each class at most, from rows (key, component and the columns of prefixes): of the hubs of its keys, a class picked
+    for each, that with the nearest sketch, if it is of another component and may be as similar as asked. A class has many keys and so
+    many hubs: of two components with many links at least one is found, from no more rows than there are."""
+    columns, rank = ("node", "n_shingles", "component", "place", *SKETCH), F.xxhash64("key", "node", F.lit(turn))
+    hub = rows.groupBy("key").agg(*(F.max_by(c, rank).alias(f"{c}_2") for c in columns))
+    near = rows.join(hub, "key").filter(allowed(similar, deviations)).groupBy("node").agg(F.min_by("node_2", F.expr(BITS)).alias("other"))
+    return near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def across(rows: DataFrame, similar: int, deviations: float | None) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a prefix key and may be as similar as asked. A key that many classes
+    have is one that Spark's skew join splits: the condition is part of the join."""
+    other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "n_shingles", "component", "place", *SKETCH)))
+    met = rows.join(other, "key").filter(f"node < node_2 and {allowed(similar, deviations)}")
     return met.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
 
 
@@ -273,8 +294,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR,
     nodes = met.select("node").distinct()
     rest = scratch.save("rest", sketched(crowd.select("node", "n_shingles").join(nodes, "node").join(full, "node")))
     if not rest.isEmpty():
-        # The likely pairs first: the components that they join leave fewer pairs for the whole range.
         prefix = scratch.save("prefixes", prefixes(rest, similar))
+        # Hubs first: parts of one large group would meet below pair by pair.
+        for turn in range(HUB_TURNS):
+            links = scratch.save(f"hubs-{turn}", confirmed(hubs(mixed(linked.of(prefix)), similar, deviations, turn), full, similar))
+            if links.isEmpty():
+                break
+            linked.add(links)
+        # The likely pairs next: the components that they join leave fewer pairs for the whole range.
         for k, d in enumerate((0, deviations)):
             pairs = scratch.save(f"across-{k}", across(linked.of(prefix), similar, d))
             linked.add(confirmed(pairs, full, similar))
@@ -284,5 +311,5 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR,
     component = F.coalesce("smallest", "doc_id")
     result = result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(["text_hash"] if hashes else []))
     result = scratch.save("result", result)
-    scratch.drop("signed", "classes", "crowd", "sets", f"met-{turns}", "rest", "prefixes", "across-0", "across-1", *linked.tables())
+    scratch.drop("signed", "classes", "crowd", "sets", f"met-{turns}", "rest", "prefixes", "across-0", "across-1", *(f"hubs-{turn}" for turn in range(HUB_TURNS)), *linked.tables())
     return result
