@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from graywacke.functions.special import p_t, p_z
+from graywacke.functions.special import log_gamma, p_t, p_z
 from graywacke.operators.ranks import mid_rank, quantiles, value_ranks
 from graywacke.operators.robust import ALPHA, GRAZED, LEAST_ROWS, LEAST_SPECS, OUTLIERS
 
@@ -225,12 +225,18 @@ def _lower(counts: DataFrame) -> DataFrame:
     return parts.withColumn("inside", inside).join(start, "part").withColumn("lower_a", F.col("start_a") + F.col("inside")).drop("part", "inside", "start_a").crossJoin(F.broadcast(total))
 
 
-def exact_by_stratum(df: DataFrame, value: str, group: str, a: str, b: str, by: list[str]) -> DataFrame:
-    """(by..., n_a, n_b, u, least_p, p) of Mann and Whitney's exact test, ties included, in each stratum; p is null in strata of more than MOST_EXACT rows, which
-    the normal test is for."""
+@F.pandas_udf(DoubleType())
+def least_rank_p(n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    """The least two-sided p that an exact rank test of so many rows can give, for any numbers: two of all choices, or the only one."""
+    a, b = n_a.to_numpy(float), n_b.to_numpy(float)
+    return pd.Series(np.minimum(1, 2 * np.exp(log_gamma(a + 1) + log_gamma(b + 1) - log_gamma(a + b + 1))))
+
+
+def exact_by_stratum(df: DataFrame, value: str, group: str, a: str, b: str, by: list[str], most: int = MOST_EXACT) -> DataFrame:
+    """(by..., n_a, n_b, u, least_p, p) of Mann and Whitney's exact test, ties included, in each stratum; p is null in strata of more than most rows, which
+    the normal test is for, least_p in none."""
     rows = df.filter(F.col(group).isin(a, b)).select(*by, (F.col(group) == a).alias("a"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     counts = rows.groupBy(*by, "v").agg(F.count_if("a").alias("k"), F.count(F.lit(1)).alias("t")).join(value_ranks(rows, "v", by).withColumn("rank", mid_rank()), [*by, "v"])
     m = counts.groupBy(*by).agg(F.sum(F.col("k") * F.col("rank")).alias("r"), F.sum("k").alias("n_a"), F.sum(F.col("t") - F.col("k")).alias("n_b"))
-    few = counts.join(m.filter(F.col("n_a") + F.col("n_b") <= MOST_EXACT).select(*by), by).groupBy(*by).agg(F.flatten(F.collect_list(F.array_repeat("rank", F.col("t").cast("int")))).alias("ranks"))
-    least = F.expr(f"if(n_a + n_b <= {MOST_EXACT} and n_a > 0 and n_b > 0, least(1D, 2 * exp({_ln_factorial('n_a')} + {_ln_factorial('n_b')} - {_ln_factorial('n_a + n_b')})), null)")
-    return m.join(few, by, "left").select(*by, "n_a", "n_b", F.expr("r - n_a * (n_a + 1) / 2").alias("u"), least.alias("least_p"), exact_rank_p("ranks", F.col("n_a").cast("double"), "r").alias("p"))
+    few = counts.join(m.filter(F.col("n_a") + F.col("n_b") <= most).select(*by), by).groupBy(*by).agg(F.flatten(F.collect_list(F.array_repeat("rank", F.col("t").cast("int")))).alias("ranks"))
+    return m.join(few, by, "left").select(*by, "n_a", "n_b", F.expr("r - n_a * (n_a + 1) / 2").alias("u"), least_rank_p("n_a", "n_b").alias("least_p"), exact_rank_p("ranks", F.col("n_a").cast("double"), "r").alias("p"))

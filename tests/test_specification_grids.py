@@ -1,6 +1,7 @@
 """Grids of specifications: exact rank tests, guards, quantiles of dealt groups, and logs and missing values."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -23,6 +24,16 @@ def test_exact_tests_against_all_choices(spark):
     assert found[3].p is None and found[4].p is None and found[5].p is None and found[5].n_a == 21
 
 
+def test_least_p_of_strata_of_any_size(spark):
+    rows = [(s, "ab"[i % 2], float(i % 5)) for s, n in enumerate((2, 12, 30, 60, 3000)) for i in range(n)] + [(5, "a", 1.0)]
+    df = spark.createDataFrame(rows, "s long, g string, v double")
+    found = {r.s: r for r in grids.exact_by_stratum(df, "v", "g", "a", "b", ["s"], most=20).collect()}
+    for s, n in enumerate((2, 12, 30, 60, 3000)):
+        assert found[s].least_p == pytest.approx(min(1, 2 / math.comb(n, n // 2) if n < 1000 else 0), rel=1e-9)
+        assert (found[s].p is None) == (n > 20)
+    assert found[5].least_p == 1
+
+
 def test_few_rows_cannot_reach_alpha(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(3)] + [("b", 10.0 + i) for i in range(3)], "g string, v double")
     found = {(r.test, r.outliers, r.log): r for r in grids.judged(grids.two_groups(rows, "v", "g", "a", "b")).collect()}
