@@ -48,30 +48,36 @@ def quotes(answered: DataFrame) -> DataFrame:
 
 
 def shingles(text: str) -> Column:
-    """Distinct runs of SHINGLE words in lower case; of fewer words, all of them as one."""
-    w = f"split(lower({text}), ' ')"
-    return F.expr(f"array_distinct(transform(sequence(0, greatest(size({w}) - {SHINGLE}, 0)), i -> xxhash64(slice({w}, i + 1, {SHINGLE}))))")
+    """Distinct runs of SHINGLE words in lower case; of fewer words, all of them as one. The text is split once, not for each run."""
+    return F.expr(f"transform(array(split(lower({text}), ' ')), w -> array_distinct(transform(sequence(0, greatest(size(w) - {SHINGLE}, 0)), i -> xxhash64(slice(w, i + 1, {SHINGLE})))))[0]")
 
 
 def nearest(asked: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, nth, part, place, nearest, ratio): for each quote the sentence of its manuscript with the greatest edit ratio, the first
+    """(doc_id, quote, place, nearest, ratio): for each different quote of a manuscript the sentence with the greatest edit ratio, the first
     one of equals, among those with at least one in SHARE of its shingles; quotes without such a sentence are left out.
 
-    A sentence that has enough of a quote's n shingles has one of any n - ceil(n / SHARE) + 1 of them: the rarest are enough to find it.
+    A sentence that equals the quote has a ratio of 1, and no other has: only the other quotes are looked for by shingles. A sentence that
+    has enough of a quote's n shingles has one of any n - ceil(n / SHARE) + 1 of them: the rarest are enough to find it.
     """
-    spread = sentences.select("doc_id", "place", F.explode(shingles("sentence")).alias("shingle"))
-    common = spread.groupBy("doc_id", "shingle").agg(F.count(F.lit(1)).alias("n_places"))
-    mine = asked.select("doc_id", "nth", "part", F.explode(shingles("quote")).alias("shingle")).join(common, ["doc_id", "shingle"], "left")
+    different = sentences.groupBy("doc_id", "sentence").agg(F.min("place").alias("place"))
+    sought = asked.groupBy("doc_id", "quote").agg(F.min(F.struct("nth", "part")).alias("at")).select("doc_id", "quote", "at.*")
+    met = sought.join(different.withColumnRenamed("sentence", "quote"), ["doc_id", "quote"], "left")
+    same = met.filter("place is not null").select("doc_id", "quote", "place", F.col("quote").alias("nearest"), F.lit(1.0).alias("ratio"))
+    rest = met.filter("place is null").drop("place")
+    # A row for each shingle of a manuscript, with its places there.
+    spread = different.select("doc_id", "place", F.explode(shingles("sentence")).alias("shingle")).groupBy("doc_id", "shingle").agg(F.collect_list("place").alias("places"))
     key = ["doc_id", "nth", "part"]
-    listed = mine.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n_places", F.lit(0)).alias("n"), "shingle"))).alias("all"))
-    rare = F.slice("all", 1, F.size("all") - F.ceil(F.size("all") / SHARE).cast("int") + 1)
-    found = listed.select(*key, F.explode(rare).alias("s")).select(*key, F.col("s.shingle").alias("shingle")).join(spread, ["doc_id", "shingle"]).select(*key, "place").distinct()
-    pair = found.join(sentences, ["doc_id", "place"]).join(asked, key)
+    # What no sentence has is among the rarest and finds nothing.
+    mine = rest.select(*key, F.size(shingles("quote")).alias("n"), F.explode(shingles("quote")).alias("shingle")).join(spread, ["doc_id", "shingle"])
+    listed = mine.groupBy(*key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.size("places").alias("many"), "shingle", "places"))).alias("all"))
+    rare = F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.ceil(F.col("n") / SHARE).cast("int") + 1))
+    found = listed.select(*key, F.explode(F.array_distinct(F.flatten(F.transform(rare, lambda s: s.places)))).alias("place"))
+    pair = found.join(different, ["doc_id", "place"]).join(rest, key)
     shared = F.size(F.array_intersect(shingles("quote"), shingles("sentence")))
     pair = pair.filter(shared * SHARE >= F.size(shingles("quote")))
     ratio = 1 - F.levenshtein("quote", "sentence") / F.greatest(F.length("quote"), F.length("sentence"))
-    best = pair.withColumn("ratio", ratio).groupBy(*key).agg(F.max(F.struct("ratio", (-F.col("place")).alias("first"), "sentence")).alias("best"))
-    return best.select(*key, (-F.col("best.first")).alias("place"), F.col("best.sentence").alias("nearest"), "best.ratio")
+    best = pair.withColumn("ratio", ratio).groupBy(*key).agg(F.max(F.struct("ratio", (-F.col("place")).alias("first"), "sentence", "quote")).alias("best"))
+    return same.unionByName(best.select("doc_id", "best.quote", (-F.col("best.first")).alias("place"), F.col("best.sentence").alias("nearest"), "best.ratio"))
 
 
 def digits(text: Column | str) -> Column:
@@ -87,13 +93,14 @@ def checked_quotes(asked: DataFrame, sentences: DataFrame) -> DataFrame:
     """
     whole = sentences.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s.sentence), " ").alias("whole"))
     held = asked.groupBy("doc_id").agg(F.collect_list(F.struct("nth", "part", "quote")).alias("held")).join(whole, "doc_id", "left")
-    rows = held.select("doc_id", "whole", F.explode("held").alias("h")).select("doc_id", "whole", "h.*")
-    pieces = rf"filter(split(quote, r'{ELLIPSIS}'), p -> p != '')"
+    pieces = rf"filter(split(h.quote, r'{ELLIPSIS}'), p -> p != '')"
     # The place after each piece, or 0 once a piece is missing.
-    after = F.expr(f"aggregate({pieces}, 1, (at, p) -> if(at > 0 and locate(p, whole, at) > 0, locate(p, whole, at) + length(p), 0))")
-    short = F.regexp_like("quote", F.lit(ELLIPSIS)) & (F.size(F.expr(pieces)) > 0) & (F.coalesce(after, F.lit(0)) > 0)
-    rows = rows.select("doc_id", "nth", "part", "quote", F.coalesce(F.contains("whole", "quote"), F.lit(False)).alias("verbatim"), short.alias("short"))
-    judged = rows.join(nearest(asked, sentences), ["doc_id", "nth", "part"], "left")
+    after = f"aggregate({pieces}, 1, (at, p) -> if(at > 0, transform(array(locate(p, whole, at)), x -> if(x > 0, x + length(p), 0))[0], 0))"
+    short = rf"h.quote rlike r'{ELLIPSIS}' and size({pieces}) > 0 and coalesce({after}, 0) > 0"
+    # Judged before they are parted, so that no quote takes a copy of the text along.
+    told = F.expr(f"transform(held, h -> named_struct('nth', h.nth, 'part', h.part, 'quote', h.quote, 'verbatim', coalesce(contains(whole, h.quote), false), 'short', not coalesce(contains(whole, h.quote), false) and {short}))")
+    rows = held.select("doc_id", F.explode(told).alias("h")).select("doc_id", "h.*")
+    judged = rows.join(nearest(asked, sentences), ["doc_id", "quote"], "left")
     other = F.col("nearest").isNotNull() & (digits("quote") != digits("nearest"))
     status = F.when(F.col("verbatim"), "verbatim").when(F.col("short"), "abbreviated").when(other, "digits").when(F.col("ratio") >= NEAR, "reworded").otherwise("absent")
     severity = F.when(F.col("status").isin("abbreviated", "reworded"), "warning").when(F.col("status") != "verbatim", "fatal")

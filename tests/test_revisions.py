@@ -34,6 +34,18 @@ def test_quotes_claims_and_comment_numbers(spark):
     assert {(r.comment, r.issue) for r in revisions.comments(answered).collect()} == {("1-5", "duplicate"), ("1-4", "gap")}
 
 
+def test_equal_quotes_are_looked_up_once(spark):
+    lines = ["The same line is here many times."] * 300 + ["Another line of several words stands here, once."]
+    new = revisions.sentences(frame(spark, "\n".join(lines)), "doc_id", "text")
+    said = [lines[0], lines[-1], "Another line of several words stands here, twice.", "Nothing of this."]
+    asked = spark.createDataFrame([(0, nth, 0, said[nth % 4]) for nth in range(400)], "doc_id long, nth int, part int, quote string")
+    found = sorted((r.quote, r.place, r.nearest) for r in revisions.nearest(asked, new).collect())
+    assert found == sorted([(said[0], 0, said[0]), (said[1], 300, said[1]), (said[2], 300, said[1])])
+    status = {(r.nth % 4, r.status, r.place) for r in revisions.checked_quotes(asked, new).collect()}
+    assert status == {(0, "verbatim", 0), (1, "verbatim", 300), (2, "absent", 300), (3, "absent", None)}
+    assert revisions.checked_quotes(asked, new).count() == 400
+
+
 def test_changed_values_that_no_quote_mentions(spark):
     old = revisions.sentences(frame(spark, NEW.replace("9.6", "9.8").replace("41", "43").replace("consent", "consent and 2 pens").replace("8 weeks", "eight weeks")), "doc_id", "text")
     new = revisions.sentences(frame(spark, NEW), "doc_id", "text")
