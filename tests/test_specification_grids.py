@@ -5,8 +5,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 
+from graywacke.functions import special
 from graywacke.operators import grids, ranks
 
 
@@ -34,6 +37,12 @@ def test_least_p_of_strata_of_any_size(spark):
     assert found[5].least_p == 1
 
 
+def test_least_p_can_be_sent_to_tasks_after_log_gamma_was_used():
+    assert special.log_gamma([3.0, 5.0]) == pytest.approx([math.log(2), math.log(24)])
+    sent = cloudpickle.loads(cloudpickle.dumps(grids.least_rank_p.func))
+    assert sent(pd.Series([2, 3]), pd.Series([2, 0])).to_list() == pytest.approx([1 / 3, 1])
+
+
 def test_few_rows_cannot_reach_alpha(spark):
     rows = spark.createDataFrame([("a", float(i)) for i in range(3)] + [("b", 10.0 + i) for i in range(3)], "g string, v double")
     found = {(r.test, r.outliers, r.log): r for r in grids.judged(grids.two_groups(rows, "v", "g", "a", "b")).collect()}
