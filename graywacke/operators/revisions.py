@@ -1,16 +1,19 @@
 """A response letter against the submitted and the revised version of a manuscript: quotes, changed values, claims, places, files.
 
-Every join is within a manuscript (doc_id). Quotes meet sentences by their rarest shingles, versions are aligned by anchors.
+A manuscript (doc_id) is a row that holds its quotes and sentences as arrays: what is compared never leaves that row, and nothing of it is dealt
+out again. Quotes meet sentences by their rarest shingles, versions are aligned by anchors.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 #: Words in a shingle; a sentence is near a quote if it has at least one in so many of the quote's shingles.
 SHINGLE, SHARE = 3, 4
@@ -19,23 +22,37 @@ NEAR = 0.95
 GAP, BLANK = r"[\x20\x09-\x0D]+", " \t\n\x0b\x0c\r"
 #: What stands for words left out of a quote.
 ELLIPSIS = r"\s*(?:\[\s*)?(?:\.\.\.|…)(?:\s*\])?\s*"
+ANSWER = r"\n(?=\s*Comment\s+\d)"
 COMMENT = r"^\s*Comment\s+(\d+(?:[-.]\d+)?)"
 QUOTE = r"[\"“]([^\"“”]+)[\"”]"
 CLAIM = r"(?i)\bwe\s+(?:have\s+)?(?:revised|changed|added|removed|deleted|corrected|clarified|rewritten|updated|replaced)\b"
 PLACE = r"(?i)\blines?\s+(\d+)"
 
 
-def sentences(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc_id, place, sentence): sentences from 0, parted at line ends and after . ! ? before white space; inner white space as one space."""
+def parted(text: str) -> Column:
+    """The sentences of a text, parted at line ends and after . ! ? before white space; inner white space as one space."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), rf"([.!?]){GAP}", "$1\n"), "\n")
-    bare = F.filter(F.transform(parts, lambda s: F.btrim(F.regexp_replace(s, GAP, " "), F.lit(BLANK))), lambda s: s != "")
-    return docs.select(F.col(doc).alias("doc_id"), F.posexplode(bare).alias("place", "sentence"))
+    return F.filter(F.transform(parts, squeezed), lambda s: s != "")
+
+
+def squeezed(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, GAP, " "), F.lit(BLANK))
+
+
+def sentences(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc_id, place, sentence): the sentences of parted(), from 0."""
+    return docs.select(F.col(doc).alias("doc_id"), F.posexplode(parted(text)).alias("place", "sentence"))
+
+
+def held(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(doc_id, name): what a manuscript has of the columns, as one array in their order."""
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def answers(letters: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc_id, nth, comment, claims, quotes, places) of each answer in a letter, from one "Comment 2-4" to the next: whether it claims a
     change, what it quotes, and the lines it refers to."""
-    parts = letters.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, r"\n(?=\s*Comment\s+\d)")).alias("nth", "part")).filter(F.regexp_like("part", F.lit(COMMENT)))
+    parts = letters.select(F.col(doc).alias("doc_id"), F.posexplode(F.split(text, ANSWER)).alias("nth", "part")).filter(F.regexp_like("part", F.lit(COMMENT)))
     said = F.regexp_replace("part", QUOTE, "")
     places = F.transform(F.regexp_extract_all(said, F.lit(PLACE), F.lit(1)), lambda n: n.try_cast("int"))
     return parts.select("doc_id", "nth", F.regexp_extract("part", COMMENT, 1).alias("comment"), F.regexp_like(said, F.lit(CLAIM)).alias("claims"), F.regexp_extract_all("part", F.lit(QUOTE), F.lit(1)).alias("quotes"), places.alias("places"))
@@ -44,40 +61,99 @@ def answers(letters: DataFrame, doc: str, text: str) -> DataFrame:
 def quotes(answered: DataFrame) -> DataFrame:
     """From answers(): (doc_id, nth, part, quote), inner white space as one space."""
     cells = answered.select("doc_id", "nth", F.posexplode("quotes").alias("part", "quote"))
-    return cells.withColumn("quote", F.btrim(F.regexp_replace("quote", GAP, " "), F.lit(BLANK)))
+    return cells.withColumn("quote", squeezed(F.col("quote")))
 
 
-def shingles(text: str) -> Column:
-    """Distinct runs of SHINGLE words in lower case; of fewer words, all of them as one. The text is split once, not for each run."""
-    return F.expr(f"transform(array(split(lower({text}), ' ')), w -> array_distinct(transform(sequence(0, greatest(size(w) - {SHINGLE}, 0)), i -> xxhash64(slice(w, i + 1, {SHINGLE})))))[0]")
+def quoted(text: Column) -> Column:
+    """What quotes() gives of one letter, as an array of (nth, part, quote)."""
+    inside = lambda part: F.regexp_extract_all(part, F.lit(QUOTE), F.lit(1))
+    listed = lambda part, nth: F.transform(inside(part), lambda q, k: F.struct(nth.alias("nth"), k.alias("part"), squeezed(q).alias("quote")))
+    return F.flatten(F.transform(F.split(text, ANSWER), lambda part, nth: F.filter(listed(part, nth), lambda _: F.regexp_like(part, F.lit(COMMENT)))))
 
 
-def nearest(asked: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc_id, quote, place, nearest, ratio): for each different quote of a manuscript the sentence with the greatest edit ratio, the first
-    one of equals, among those with at least one in SHARE of its shingles; quotes without such a sentence are left out.
+def shingles(text: str) -> set[str]:
+    """Runs of SHINGLE words in lower case; of fewer words, all of them as one."""
+    words = text.lower().split(" ")
+    return {" ".join(words[k : k + SHINGLE]) for k in range(max(len(words) - SHINGLE, 0) + 1)}
 
-    A sentence that equals the quote has a ratio of 1, and no other has: only the other quotes are looked for by shingles. A sentence that
-    has enough of a quote's n shingles has one of any n - ceil(n / SHARE) + 1 of them: the rarest are enough to find it.
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def near_places(quotes: pd.Series, sentences: pd.Series) -> pd.Series:
+    """For each quote of a manuscript the places of the sentences that can be nearest: the first that equals it; or else, of equal ones the
+    first, those with at least one in SHARE of its shingles.
+
+    A sentence that has enough of a quote's n shingles has one of any n - ceil(n / SHARE) + 1 of them: the rarest are enough to find it.
     """
-    different = sentences.groupBy("doc_id", "sentence").agg(F.min("place").alias("place"))
-    sought = asked.groupBy("doc_id", "quote").agg(F.min(F.struct("nth", "part")).alias("at")).select("doc_id", "quote", "at.*")
-    met = sought.join(different.withColumnRenamed("sentence", "quote"), ["doc_id", "quote"], "left")
-    same = met.filter("place is not null").select("doc_id", "quote", "place", F.col("quote").alias("nearest"), F.lit(1.0).alias("ratio"))
-    rest = met.filter("place is null").drop("place")
-    # A row for each shingle of a manuscript, with its places there.
-    spread = different.select("doc_id", "place", F.explode(shingles("sentence")).alias("shingle")).groupBy("doc_id", "shingle").agg(F.collect_list("place").alias("places"))
-    key = ["doc_id", "nth", "part"]
-    # What no sentence has is among the rarest and finds nothing.
-    mine = rest.select(*key, F.size(shingles("quote")).alias("n"), F.explode(shingles("quote")).alias("shingle")).join(spread, ["doc_id", "shingle"])
-    listed = mine.groupBy(*key).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct(F.size("places").alias("many"), "shingle", "places"))).alias("all"))
-    rare = F.slice("all", 1, F.greatest(F.lit(0), F.size("all") - F.ceil(F.col("n") / SHARE).cast("int") + 1))
-    found = listed.select(*key, F.explode(F.array_distinct(F.flatten(F.transform(rare, lambda s: s.places)))).alias("place"))
-    pair = found.join(different, ["doc_id", "place"]).join(rest, key)
-    shared = F.size(F.array_intersect(shingles("quote"), shingles("sentence")))
-    pair = pair.filter(shared * SHARE >= F.size(shingles("quote")))
-    ratio = 1 - F.levenshtein("quote", "sentence") / F.greatest(F.length("quote"), F.length("sentence"))
-    best = pair.withColumn("ratio", ratio).groupBy(*key).agg(F.max(F.struct("ratio", (-F.col("place")).alias("first"), "sentence", "quote")).alias("best"))
-    return same.unionByName(best.select("doc_id", "best.quote", (-F.col("best.first")).alias("place"), F.col("best.sentence").alias("nearest"), "best.ratio"))
+
+    def found(quotes: Sequence[str], sentences: Sequence[str]) -> list[list[int]]:
+        first: dict[str, int] = {}
+        for place, s in enumerate(sentences):
+            first.setdefault(s, place)
+        out: dict[str, list[int]] = {q: [first[q]] for q in quotes if q in first}
+        if len(rest := {q for q in quotes if q not in out}):
+            having, runs = defaultdict(list), {place: shingles(s) for s, place in first.items()}
+            for place, each in runs.items():
+                for run in each:
+                    having[run].append(place)
+            for q in rest:
+                mine = shingles(q)
+                enough = -(-len(mine) // SHARE)
+                # What no sentence has is among the rarest and finds nothing.
+                places = sorted((having[run] for run in mine if run in having), key=len)
+                may = {place for p in places[: max(0, len(places) - enough + 1)] for place in p}
+                out[q] = sorted(place for place in may if len(mine & runs[place]) >= enough)
+        return [out[q] for q in quotes]
+
+    return pd.Series([found(q, s) for q, s in zip(quotes, sentences)], dtype=object)
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """rows (quotes: array of nth, part, quote; sentences: array of text) with checked, an array with a struct for each quote: nth, part, quote,
+    status and severity as in checked_quotes(), and at, nearest and ratio of its nearest sentence, the first one of equals."""
+    rows = rows.withColumn("asked", F.arrays_zip("quotes", near_places("quotes.quote", "sentences").alias("near")))
+    # Null without sentences, so that nothing is verbatim.
+    rows = rows.withColumn("whole", F.expr("if(size(sentences) > 0, array_join(sentences, ' '), null)"))
+    pieces = rf"filter(split(h.quote, r'{ELLIPSIS}'), p -> p != '')"
+    # The place after each piece, or 0 once a piece is missing.
+    after = f"aggregate({pieces}, 1, (at, p) -> if(at > 0, transform(array(locate(p, whole, at)), x -> if(x > 0, x + length(p), 0))[0], 0))"
+    short = rf"h.quote rlike r'{ELLIPSIS}' and size({pieces}) > 0 and coalesce({after}, 0) > 0"
+    ratio = "if(s = h.quote, 1D, 1 - levenshtein(h.quote, s) / greatest(length(h.quote), length(s)))"
+    best = f"array_max(transform(a.near, p -> named_struct('ratio', transform(array(sentences[p]), s -> {ratio})[0], 'first', -p)))"
+    told = f"transform(asked, a -> transform(array(a.quotes), h -> named_struct('h', h, 'verbatim', coalesce(contains(whole, h.quote), false), 'short', not coalesce(contains(whole, h.quote), false) and {short}, 'best', {best}))[0])"
+    rows = rows.withColumn("told", F.expr(told)).drop("asked", "whole")
+
+    def nearest(t: Column) -> Column:
+        return F.struct(t.h.alias("h"), t.verbatim.alias("verbatim"), t.short.alias("short"), (-t.best.first).alias("at"), F.get("sentences", -t.best.first).alias("nearest"), t.best.ratio.alias("ratio"))
+
+    def status(t: Column) -> Column:
+        other = t.nearest.isNotNull() & (digits(t.h.quote) != digits(t.nearest))
+        kind = F.when(t.verbatim, "verbatim").when(t.short, "abbreviated").when(other, "digits").when(t.ratio >= NEAR, "reworded").otherwise("absent")
+        return F.struct(t.h.nth.alias("nth"), t.h.part.alias("part"), t.h.quote.alias("quote"), kind.alias("status"), t["at"].alias("at"), t.nearest.alias("nearest"), t.ratio.alias("ratio"))
+
+    def severity(t: Column) -> Column:
+        return t.withField("severity", F.when(t.status.isin("abbreviated", "reworded"), "warning").when(t.status != "verbatim", "fatal"))
+
+    return rows.withColumn("checked", F.transform(F.transform(F.transform("told", nearest), status), severity)).drop("told")
+
+
+def spread(rows: DataFrame, each: Column | str) -> DataFrame:
+    """doc_id and the fields of each struct in the array. Outer, as Spark would else test the array's size below the functions that it comes from."""
+    return rows.select("doc_id", F.explode_outer(each).alias("p")).filter("p is not null").select("doc_id", "p.*")
+
+
+def _checked(asked: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, c, place): a row for each of asked, c as in judged()."""
+    rows = held(asked, "quotes", "nth", "part", "quote").join(held(sentences, "of", "place", "sentence"), "doc_id", "left")
+    rows = judged(rows.select("doc_id", "quotes", "of", F.coalesce("of.sentence", F.array().cast("array<string>")).alias("sentences")))
+    placed = F.transform("checked", lambda c: F.struct(c.alias("c"), F.get("of.place", c["at"]).alias("place")))
+    return spread(rows, placed)
+
+
+def nearest(asked: DataFrame, sentences: DataFrame) -> DataFrame:
+    """(doc_id, quote, place, nearest, ratio): for each different quote of a manuscript the sentence with the greatest edit ratio, the first
+    one of equals, among those with at least one in SHARE of its shingles; quotes without such a sentence are left out."""
+    each = _checked(asked, sentences).filter("place is not null")
+    return each.select("doc_id", "c.quote", "place", "c.nearest", "c.ratio").distinct()
 
 
 def digits(text: Column | str) -> Column:
@@ -89,64 +165,85 @@ def checked_quotes(asked: DataFrame, sentences: DataFrame) -> DataFrame:
 
     verbatim: the version has it, character by character; abbreviated: it has the pieces about an ellipsis, in order (warning);
     digits: its nearest sentence has other digits (fatal, however near); reworded: the nearest has a ratio of NEAR or more (warning); absent (fatal).
-    A manuscript's quotes meet its text in one row, so that the text is moved once.
     """
-    whole = sentences.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda s: s.sentence), " ").alias("whole"))
-    held = asked.groupBy("doc_id").agg(F.collect_list(F.struct("nth", "part", "quote")).alias("held")).join(whole, "doc_id", "left")
-    pieces = rf"filter(split(h.quote, r'{ELLIPSIS}'), p -> p != '')"
-    # The place after each piece, or 0 once a piece is missing.
-    after = f"aggregate({pieces}, 1, (at, p) -> if(at > 0, transform(array(locate(p, whole, at)), x -> if(x > 0, x + length(p), 0))[0], 0))"
-    short = rf"h.quote rlike r'{ELLIPSIS}' and size({pieces}) > 0 and coalesce({after}, 0) > 0"
-    # Judged before they are parted, so that no quote takes a copy of the text along.
-    told = F.expr(f"transform(held, h -> named_struct('nth', h.nth, 'part', h.part, 'quote', h.quote, 'verbatim', coalesce(contains(whole, h.quote), false), 'short', not coalesce(contains(whole, h.quote), false) and {short}))")
-    rows = held.select("doc_id", F.explode(told).alias("h")).select("doc_id", "h.*")
-    judged = rows.join(nearest(asked, sentences), ["doc_id", "quote"], "left")
-    other = F.col("nearest").isNotNull() & (digits("quote") != digits("nearest"))
-    status = F.when(F.col("verbatim"), "verbatim").when(F.col("short"), "abbreviated").when(other, "digits").when(F.col("ratio") >= NEAR, "reworded").otherwise("absent")
-    severity = F.when(F.col("status").isin("abbreviated", "reworded"), "warning").when(F.col("status") != "verbatim", "fatal")
-    return judged.withColumn("status", status).select("doc_id", "nth", "part", "quote", "status", severity.alias("severity"), "place", "nearest", "ratio")
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def longest_run(places: pd.Series) -> pd.Series:
+    return _checked(asked, sentences).select("doc_id", "c.nth", "c.part", "c.quote", "c.status", "c.severity", "place", "c.nearest", "c.ratio")
+
+
+def longest_run(new: list[int]) -> list[int]:
     """For places in one version, in the order of the other: which are kept so that the most increase; of equal choices the first for each length."""
 
-    def kept(new: list[int]) -> list[int]:
-        def lengths(values: list[int]) -> list[int]:
-            ends: list[int] = []
-            out = []
-            for v in values:
-                at = bisect_left(ends, v)
-                ends[at : at + 1] = [v]
-                out.append(at + 1)
-            return out
-
-        up, down = lengths(new), lengths([-v for v in reversed(new)])[::-1]
-        longest, seen, out = max(up, default=0), set(), []
-        for k, (a, b) in enumerate(zip(up, down)):
-            # Those on some longest run and at one place in it fall: taking the first for each place gives a run.
-            if a + b - 1 == longest and a not in seen:
-                seen.add(a)
-                out.append(k)
+    def lengths(values: list[int]) -> list[int]:
+        ends: list[int] = []
+        out = []
+        for v in values:
+            at = bisect_left(ends, v)
+            ends[at : at + 1] = [v]
+            out.append(at + 1)
         return out
 
-    return pd.Series([kept(list(p)) for p in places])
+    up, down = lengths(new), lengths([-v for v in reversed(new)])[::-1]
+    longest, seen, out = max(up, default=0), set(), []
+    for k, (a, b) in enumerate(zip(up, down)):
+        # Those on some longest run and at one place in it fall: taking the first for each place gives a run.
+        if a + b - 1 == longest and a not in seen:
+            seen.add(a)
+            out.append(k)
+    return out
 
 
-def anchors(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, old_place, new_place): sentences that both versions have once, the longest run of them in the order of both.
+def anchored(old: Sequence[str], new: Sequence[str]) -> list[tuple[int, int]]:
+    """The places of sentences that both versions have once, the longest run of them in the order of both."""
+    many_old, many_new = Counter(old), Counter(new)
+    there = {s: k for k, s in enumerate(new) if many_new[s] == 1}
+    both = [(k, there[s]) for k, s in enumerate(old) if many_old[s] == 1 and s in there]
+    return [both[k] for k in longest_run([b for _, b in both])]
 
-    One row a manuscript holds the places of such sentences, not their text.
-    """
 
-    def once(rows: DataFrame, name: str) -> DataFrame:
-        each = rows.groupBy("doc_id", F.xxhash64("sentence").alias("h1"), F.xxhash64(F.lit(1), "sentence").alias("h2")).agg(F.min("place").alias(name), F.count(F.lit(1)).alias("n"))
-        return each.filter("n = 1").drop("n")
+PLACES = StructType().add("old", ArrayType(IntegerType())).add("new", ArrayType(IntegerType()))
 
-    both = once(before, "old_place").join(once(after, "new_place"), ["doc_id", "h1", "h2"])
-    listed = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("old_place", "new_place"))).alias("all"))
-    run = listed.select("doc_id", "all", longest_run(F.col("all.new_place")).alias("kept"))
-    return run.select("doc_id", "all", F.explode("kept").alias("k")).select("doc_id", F.col("all")[F.col("k")].alias("a")).select("doc_id", "a.*")
+
+@F.pandas_udf(PLACES)
+def anchor_places(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    each = [anchored(a, b) for a, b in zip(old, new)]
+    return pd.DataFrame({"old": [[a for a, _ in e] for e in each], "new": [[b for _, b in e] for e in each]}, dtype=object)
+
+
+@F.pandas_udf(PLACES)
+def dealt_places(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Places that stand against each other, -1 for none: between two anchors the k-th sentence of one version and the k-th of the other."""
+    rows: dict[str, list[list[int]]] = {"old": [], "new": []}
+    for a, b in zip(old, new):
+        ends = [*anchored(a, b), (len(a), len(b))]
+        left, right = [], []
+        for (i, j), (to_i, to_j) in zip([(0, 0), *ends], ends):
+            for k in range(max(to_i - i, to_j - j)):
+                left.append(i + k if i + k < to_i else -1)
+                right.append(j + k if j + k < to_j else -1)
+        rows["old"].append(left)
+        rows["new"].append(right)
+    return pd.DataFrame(rows, dtype=object)
+
+
+def against(before: str, after: str, pairs: str) -> Column:
+    """For rows with the sentences of two versions and what dealt_places() gives for them: an array of (a, b, old, new, status), a and b the
+    places in the versions, -1 for none; status: same, changed, removed or added."""
+    texts = F.transform(F.arrays_zip(F.col(f"{pairs}.old").alias("a"), F.col(f"{pairs}.new").alias("b")), lambda p: F.struct(p.a.alias("a"), p.b.alias("b"), F.get(before, p.a).alias("old"), F.get(after, p.b).alias("new")))
+    status = lambda p: F.when(p.new.isNull(), "removed").when(p.old.isNull(), "added").when(p.old == p.new, "same").otherwise("changed")
+    return F.transform(texts, lambda p: p.withField("status", status(p)))
+
+
+def _both(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, before, after): the sentences of two versions with their places."""
+    rows = held(before, "before", "place", "sentence").join(held(after, "after", "place", "sentence"), "doc_id", "full_outer")
+    none = F.array().cast(rows.schema["before"].dataType)
+    return rows.select("doc_id", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+
+
+def anchors(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, old_place, new_place): sentences that both versions have once, the longest run of them in the order of both."""
+    rows = _both(before, after).withColumn("run", anchor_places("before.sentence", "after.sentence"))
+    placed = F.transform(F.arrays_zip("run.old", "run.new"), lambda p: F.struct(F.get("before.place", p.old).alias("old_place"), F.get("after.place", p.new).alias("new_place")))
+    return spread(rows, placed)
 
 
 def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -154,18 +251,26 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
 
     Between two anchors the k-th sentence of one version stands against the k-th of the other.
     """
-    run = anchors(before, after)
-    slot = Window.partitionBy("doc_id").orderBy("place")
+    rows = _both(before, after).select("doc_id", F.col("before.place").alias("old_at"), F.col("after.place").alias("new_at"), F.col("before.sentence").alias("before"), F.col("after.sentence").alias("after"))
+    rows = rows.withColumn("pairs", dealt_places("before", "after"))
+    placed = F.transform(against("before", "after", "pairs"), lambda p: F.struct(F.get("old_at", p.a).alias("old_place"), F.get("new_at", p.b).alias("new_place"), p.old.alias("old"), p.new.alias("new"), p.status.alias("status")))
+    return spread(rows, placed)
+
+
+def gone(old: Column, new: Column, status: Column) -> Column:
+    """Whether a number of the old sentence is missing in the new one, where it is changed."""
+    return (status == "changed") & (F.size(F.array_except(digits(F.coalesce(old, F.lit(""))), digits(F.coalesce(new, F.lit(""))))) > 0)
 
-    def dealt(rows: DataFrame, name: str, text: str) -> DataFrame:
-        marked = rows.join(run.select("doc_id", F.col(name).alias("place"), F.lit(1).alias("anchor")), ["doc_id", "place"], "left")
-        marked = marked.withColumn("gap", F.count("anchor").over(slot.rowsBetween(Window.unboundedPreceding, 0)))
-        begin = F.max(F.when(F.col("anchor") == 1, F.col("place"))).over(slot.rowsBetween(Window.unboundedPreceding, 0))
-        return marked.select("doc_id", "gap", (F.col("place") - F.coalesce(begin, F.lit(-1))).alias("k"), F.col("place").alias(name), F.col("sentence").alias(text))
 
-    both = dealt(before, "old_place", "old").join(dealt(after, "new_place", "new"), ["doc_id", "gap", "k"], "full_outer")
-    status = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("old") == F.col("new"), "same").otherwise("changed")
-    return both.select("doc_id", "old_place", "new_place", "old", "new", status.alias("status"))
+def changed_rows(rows: DataFrame) -> DataFrame:
+    """What changes() gives, for rows of judged() with both versions' sentences (before, sentences)."""
+    rows = rows.withColumn("pairs", dealt_places("before", "sentences"))
+    linked = F.array_distinct(F.transform(F.filter("checked", lambda c: c["at"].isNotNull() & (c.status != "absent")), lambda c: c["at"]))
+    rows = rows.select("doc_id", "before", "sentences", "pairs", linked.alias("linked"))
+    some = F.filter(against("before", "sentences", "pairs"), lambda p: p.status != "same")
+    place = lambda k: F.when(k >= 0, k)
+    told = F.transform(some, lambda p: F.struct(place(p.a).alias("old_place"), place(p.b).alias("new_place"), p.status.alias("status"), gone(p.old, p.new, p.status).alias("values_gone"), F.array_contains("linked", p.b).alias("linked")))
+    return spread(rows, told).withColumn("severity", F.when(F.col("values_gone") & ~F.col("linked"), "fatal"))
 
 
 def changes(pairs: DataFrame, checked: DataFrame) -> DataFrame:
@@ -175,8 +280,8 @@ def changes(pairs: DataFrame, checked: DataFrame) -> DataFrame:
     absent is nearest to the new sentence. A changed value that isn't linked is fatal.
     """
     told = checked.filter("place is not null and status <> 'absent'").select("doc_id", F.col("place").alias("new_place"), F.lit(True).alias("linked")).distinct()
-    gone = F.size(F.array_except(digits(F.coalesce("old", F.lit(""))), digits(F.coalesce("new", F.lit(""))))) > 0
-    rows = pairs.filter("status <> 'same'").join(told, ["doc_id", "new_place"], "left").withColumns({"values_gone": gone & (F.col("status") == "changed"), "linked": F.coalesce("linked", F.lit(False))})
+    rows = pairs.filter("status <> 'same'").withColumn("values_gone", gone(F.col("old"), F.col("new"), F.col("status"))).drop("old", "new")
+    rows = rows.join(told, ["doc_id", "new_place"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     severity = F.when(F.col("values_gone") & ~F.col("linked"), "fatal")
     return rows.select("doc_id", "old_place", "new_place", "status", "values_gone", "linked", severity.alias("severity"))
 

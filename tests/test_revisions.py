@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 from graywacke.operators import revisions
+from graywacke.plans import registry
 
 NEW = "We studied 41 people over 8 weeks. The mean fell from 14.2 to 9.6 points in the treated group.\nNobody left the study early, as far as we know. All gave consent."
 LETTER = """Dear editor
@@ -88,3 +89,20 @@ def test_files_attached(spark):
     old = revisions.sentences(frame(spark, a, a, c, a, ""), "doc_id", "text")
     new = revisions.sentences(frame(spark, a, b, a, "", ""), "doc_id", "text")
     assert {r.doc_id: r.status for r in revisions.attachments(old, new).collect()} == {0: "same file", 1: "ok", 2: "unrelated", 3: "missing"}
+
+
+def test_manuscripts_are_compared_in_their_rows(spark, tmp_path):
+    texts = ["Of a study.\n" + NEW.replace("9.6", "9.8").replace("consent", "consent and 2 pens"), "Of a study.\n" + NEW, "Alone.\nNothing else begins so.", " \n ", " \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [registry.queries()[name](spark, str(tmp_path)) for name in ("tx17_changes", "tx15_quotes")]
+        plans = [f._jdf.queryExecution().executedPlan().toString() for f in frames]
+        found = [sorted(map(tuple, f.collect()), key=str) for f in frames]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # First lines twice, texts and their ids for each of two joins, and the submissions' texts once more: no sentence is dealt out.
+    assert all(p.count("Exchange hashpartitioning") <= 7 and "checkpoint" not in p.lower() and "ExistingRDD" not in p for p in plans)
+    assert found[0] == [(1, 2, 2, "changed", True, False, "fatal"), (1, 4, 4, "changed", True, False, "fatal")]
+    assert found[1] == [(1, 1, "abbreviated", "warning", None, None), (1, 3, "verbatim", None, 3, 1.0), (1, 4, "absent", "fatal", None, None)]
